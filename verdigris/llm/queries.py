@@ -6,20 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.llm import decontam, mixing, ngram_join, substring, token_files
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from verdigris.llm import substring
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer on this machine; its files are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.counts(_table(spark, sf_dir, "documents"))
+
+
+def op2_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_and_read(_table(spark, sf_dir, "documents"), tokenizer_file())
 
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.members(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pareto_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
