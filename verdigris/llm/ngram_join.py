@@ -3,13 +3,16 @@
 1. Every text becomes the set of its distinct n-word shingles (64-bit hashes). Documents with one set are one node,
    named by a fingerprint of the set; only nodes are joined.
 2. Shingles are ordered by rarity: a table of 2**FREQ_BITS counters holds how often each hash class occurs in the whole
-   corpus (its size is fixed, so it may be broadcast). Any fixed order gives exact results; this one keeps frequent
-   shingles out of the prefixes.
+   corpus, on a logarithmic scale of one byte (its size is fixed, so it may be broadcast). Any fixed order gives exact
+   results; this one keeps frequent shingles out of the prefixes.
 3. Two sets of sizes x and y can only reach the threshold if they share one of the first x - ceil(t x) + 1 shingles.
    Prefix postings are dealt by shingle; a shingle with one node is dropped where it arrives.
-4. Links are looked for in rounds. First each node is tried against one leader of its postings, so that a group of
-   thousands of near copies needs one pair per node, not all pairs. What verifies joins nodes into components. Then all
-   pairs of nodes in different components that share a posting and pass the length and positional filters are tried: no
+4. Links are looked for in rounds. In each, a node is tried against a leader or two of its postings that are in other
+   components (the first time the leader that most of them name, then leaders drawn by a hash), so that a group of thousands
+   of near copies needs a few pairs per node, not all pairs. What verifies joins components. Rounds end when few trials
+   succeed. What is left is complete: where one component holds many postings of a shingle, the other nodes there are
+   verified against blocks of that component's sets by counting shared items, without a row for each pair; then all other
+   pairs of nodes in different components that share a posting and pass the length and positional filters are tried. No
    link between different components is lost, and pairs inside one component need no proof.
 5. A pair's suffix filter bounds the overlap by shingle counts in 64 hash ranges; what passes is verified by
    intersecting the whole sets.
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 from verdigris.llm import _text as tx
 from verdigris.llm._work import bucket_count, maybe_broadcast, pick, written
 
-FREQ_BITS, SLICES, RANGES = 22, 64, 64
+FREQ_BITS, SLICES, RANGES = 24, 256, 64
+#: Rounds of trials at most, and the share of trials that must succeed for another one.
+ROUNDS, WORTH = 4, 0.1
+#: Postings of one component from which it is a shingle's host, and sets of each side in one block.
+HOST, BLOCK = 16, 1000
 U64 = np.uint64
 _DOCS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("raw", pa.binary())])
 _DOCS_SQL = "kind int, doc_id long, node long, check long, n long, part int, raw binary"
@@ -77,14 +84,15 @@ def _ranges(doc: np.ndarray, g: np.ndarray, docs: int) -> np.ndarray:
 
 def _scan(n: int):
     def run(batches):
-        counters = np.zeros(1 << FREQ_BITS, dtype=np.uint32)
+        counters = np.zeros(1 << FREQ_BITS, dtype=np.uint16)
         for table in tx.blocks(batches):
             docs = table.num_rows
             doc, g = shingle_sets(*tx.column_bytes(table.column("text")), n)
             size, _, node, check = _nodes(doc, g, docs)
             slot, times = np.unique((g >> U64(20)).astype(np.int64) & ((1 << FREQ_BITS) - 1), return_counts=True)
-            counters[slot] += times.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs, np.int32)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(node), pa.array(check), pa.array(size), pa.array(np.zeros(docs, np.int32)), pa.nulls(docs, pa.binary())], schema=_DOCS)
+            counters[slot] = np.minimum(counters[slot] + times, 65535).astype(np.uint16)
+            ranges = pa.array([x.tobytes() for x in _ranges(doc, g, docs)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs, np.int32)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(node), pa.array(check), pa.array(size), pa.array(np.zeros(docs, np.int32)), ranges], schema=_DOCS)
         if counters.any():
             raw = [zlib.compress(x.tobytes(), 1) for x in counters.reshape(SLICES, -1)]
             k = len(raw)
@@ -94,8 +102,11 @@ def _scan(n: int):
 
 
 def _sum_slices(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table.column("raw").to_pylist())
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "raw": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)], pa.binary())})
+    total = np.zeros((1 << FREQ_BITS) // SLICES)
+    for x in table.column("raw"):
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
+    scaled = np.minimum(np.round(12 * np.log2(1 + total)), 255).astype(np.uint8)
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "raw": pa.array([zlib.compress(scaled.tobytes(), 1)], pa.binary())})
 
 
 def _needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -177,7 +188,33 @@ def _sets(n: int):
             docs = table.num_rows
             doc, g = shingle_sets(*tx.column_bytes(table.column("text")), n)
             size, first, node, _ = _nodes(doc, g, docs)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([g[i : i + k].tobytes() for i, k in zip(first.tolist(), size.tolist(), strict=True)], pa.binary()), pa.array([x.tobytes() for x in _ranges(doc, g, docs)], pa.binary())], ["node", "items", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([g[i : i + k].tobytes() for i, k in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())], ["node", "items"])
+
+    return run
+
+
+def _linked(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One link, if there is one, of each guest set (side 1) to the member sets (side 0) of a block."""
+        side = table.column("side").to_numpy()
+        node = table.column("node").to_numpy()
+        items = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")]
+        members, guests = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[tuple[int, int]] = []
+        if len(members) and len(guests):
+            size = np.array([len(items[i]) for i in members])
+            flat, owner = np.concatenate([items[i] for i in members]), np.repeat(np.arange(len(members)), size)
+            by = np.argsort(flat, kind="stable")
+            flat, owner = flat[by], owner[by]
+            for i in guests:
+                lo, hi = np.searchsorted(flat, items[i], "left"), np.searchsorted(flat, items[i], "right")
+                n = hi - lo
+                hits = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                shared = np.bincount(hits, minlength=len(members))
+                ok = np.flatnonzero(100 * shared >= percent * (size + len(items[i]) - shared))
+                if len(ok):
+                    out.append((int(node[i]), int(node[members[ok[0]]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -204,7 +241,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 class NgramJoin:
     """Links between distinct n-shingle sets of docs (doc_id, text) at a Jaccard similarity of percent / 100 or more."""
 
-    def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = 2):
+    def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, rounds: int = ROUNDS):
         self.n, self.percent, self.rounds = n, percent, rounds
         self.docs = pick(docs, "doc_id", "text")
         self.spark = docs.sparkSession
@@ -212,11 +249,12 @@ class NgramJoin:
     def _prepare(self) -> None:
         scanned = written(self.docs.mapInArrow(_scan(self.n), _DOCS_SQL), "sets")
         self.rows = scanned.filter("kind = 0").select("doc_id", "node", "check", "n")
+        self.ranges = scanned.filter("kind = 0 and n > 0").select("doc_id", "node", "raw")
         # SLICES rows: the counters' size is fixed by FREQ_BITS
         slices = scanned.filter("kind = 1").groupBy("part").applyInArrow(_sum_slices, "part int, raw binary").collect()
-        counters = np.zeros((SLICES, (1 << FREQ_BITS) // SLICES), dtype=np.uint32)
+        counters = np.zeros((SLICES, (1 << FREQ_BITS) // SLICES), dtype=np.uint8)
         for s in slices:
-            counters[s["part"]] = np.frombuffer(zlib.decompress(bytes(s["raw"])), "<u4")
+            counters[s["part"]] = np.frombuffer(zlib.decompress(bytes(s["raw"])), np.uint8)
         self.frequency = self.spark.sparkContext.broadcast(counters.reshape(-1))
         classes = self.rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
         self.classes = written(classes, "classes")
@@ -228,62 +266,116 @@ class NgramJoin:
         blobs = self.docs.mapInArrow(_prefixes(self.n, self.percent, buckets, self.frequency), "bucket long, n long, payload binary")
         self.postings = written(blobs.groupBy("bucket").applyInArrow(_postings, "token long, node long, n long, place long"), "postings")
 
+    def _wanted(self, pairs: DataFrame) -> DataFrame:
+        """node, doc_id of one document of each node of pairs."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return written(nodes.join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+
+    def _items(self, wanted: DataFrame) -> DataFrame:
+        """node, items (the whole set) of the wanted (node, doc_id)."""
+        found = self.docs.join(maybe_broadcast(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(self.n), "node long, items binary")
+        return written(found.join(maybe_broadcast(wanted.select("node")), "node", "left_semi"), "texts")
+
     def _proven(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, na, b, nb) that link."""
-        pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = written(wanted.join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
-        ids = maybe_broadcast(wanted.select("doc_id"))
-        found = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.n), "node long, items binary, ranges binary")
-        sets = written(found.join(maybe_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "texts")
-        low = sets.select("node", "ranges")
+        low = self.ranges.join(maybe_broadcast(self._wanted(pairs)), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
         bounded = (
-            pairs.join(low.select(F.col("node").alias("a"), F.col("ranges").alias("ra")), "a").join(low.select(F.col("node").alias("b"), F.col("ranges").alias("rb")), "b")
+            pairs.join(low.select(F.col("node").alias("a"), F.col("raw").alias("ra")), "a").join(low.select(F.col("node").alias("b"), F.col("raw").alias("rb")), "b")
             .mapInArrow(_suffix, "a long, na long, b long, nb long, most long").filter(f"100 * most >= {self.percent} * (na + nb - most)")
         )
         left = written(bounded.select("a", "na", "b", "nb"), "bounded")
-        items = sets.select("node", "items")
+        items = self._items(self._wanted(left))
         both = left.select("a", "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b")
         shared = both.mapInArrow(_verify, "a long, b long, shared long")
-        return left.join(shared, ["a", "b"]).filter(f"100 * shared >= {self.percent} * (na + nb - shared)").select("a", "b")
+        return left.join(shared, ["a", "b"]).filter(f"100 * shared >= {self.percent} * (na + nb - shared)").select("a", "b").distinct()
+
+    def _hosted(self, p: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """p with flag hosted (the posting belongs to its shingle's host component), and the links of all other nodes at
+        such shingles to any member of the host."""
+        own = p.groupBy("token", "comp").agg(F.count("node").alias("held"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("room"))
+        host = own.groupBy("token").agg(F.max(F.struct("held", "comp", "lo", "hi", "room")).alias("h")).filter(F.col("h.held") >= HOST)
+        flagged = written(p.join(host, "token", "left").withColumn("hosted", F.coalesce(F.col("comp") == F.col("h.comp"), F.lit(False))), "flagged")
+        t = self.percent
+        near = f"h is not null and not hosted and 100 * h.hi >= {t} * n and 100 * n >= {t} * h.lo and {100 + t} * least(n - place, h.room) >= {t} * (n + greatest(h.lo, {t} * n / 100))"
+        guests = written(flagged.filter(near).select(F.col("h.comp").alias("host"), "node").distinct(), "guests")
+        members = label.join(guests.select(F.col("host").alias("comp")).distinct(), "comp").select(F.col("comp").alias("host"), "node")
+        size = guests.groupBy("host").agg(F.ceil(F.count("node") / BLOCK).alias("gs")).join(members.groupBy("host").agg(F.ceil(F.count("node") / BLOCK).alias("ms")), "host")
+        nodes = written(guests.select("node").union(members.select("node")).distinct().join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        items = self._items(nodes)
+        sides = []
+        for side, rows, mine, other in ((0, members, "ms", "gs"), (1, guests, "gs", "ms")):
+            placed = rows.join(size, "host").withColumn("i", F.pmod(F.xxhash64("node"), F.col(mine))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+            m, g = ("i", "j") if side == 0 else ("j", "i")
+            sides.append(placed.select("host", F.col(m).alias("m"), F.col(g).alias("g"), F.lit(side).alias("side"), "node").join(items, "node"))
+        block = sides[0].union(sides[1]).groupBy("host", "m", "g")
+        return flagged.drop("h"), block.applyInArrow(_linked(self.percent), "a long, b long")
 
     def _fits(self) -> str:
         """Length and positional filters on a pair's first shared shingle."""
         p = self.percent
-        return f"100 * least(na, nb) >= {p} * greatest(na, nb) and {100 + p} * (1 + least(na - pa, nb - pb) - 1) >= {p} * (na + nb)"
+        return f"100 * least(na, nb) >= {p} * greatest(na, nb) and {100 + p} * least(na - pa, nb - pb) >= {p} * (na + nb)"
 
-    def _labelled(self, label: DataFrame | None) -> DataFrame:
+    def _labelled(self, label: DataFrame) -> DataFrame:
         """Postings with their node's component, without shingles held by one component only."""
-        if label is None:
-            return self.postings.withColumn("comp", F.col("node"))
         p = self.postings.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         return p.join(mixed, "token", "left_semi")
 
-    def links(self) -> DataFrame:
-        """Edges (a, b) between nodes that connect exactly the nodes that links connect."""
+    def _trials(self, p: DataFrame, k: int) -> DataFrame:
+        """Pairs of a round: each node and one leader of its postings (two after the first round)."""
+        if k:
+            best = F.min_by(F.struct("comp", "node", "n", "place"), F.xxhash64("node", "token", F.lit(k)))
+        else:
+            best = F.min(F.struct("comp", "node", "n", "place"))
+        lead = p.groupBy("token").agg(best.alias("l")).select("token", F.col("l.comp").alias("cb"), F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.place").alias("pb"))
+        tried = p.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(lead, "token").filter("ca <> cb").filter(self._fits())
+        votes = tried.groupBy("a", "na", "b", "nb").count().withColumn("draw", F.xxhash64("a", "b", F.lit(k)))
+        first = F.max(F.struct("count", "b", "nb")) if k == 0 else F.max(F.struct("draw", "b", "nb"))
+        each = votes.groupBy("a", "na").agg(first.alias("v"), F.min(F.struct("draw", "b", "nb")).alias("w"))
+        one = each.select("a", "na", F.col("v.b").alias("b"), F.col("v.nb").alias("nb"))
+        return one.union(each.select("a", "na", F.col("w.b"), F.col("w.nb"))).distinct() if k else one
+
+    def _all_pairs(self, p: DataFrame) -> DataFrame:
+        """All pairs of nodes in different components that can still link, without those that _hosted has verified."""
+        x = p.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+        y = p.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        return x.join(y, "token").filter("a < b and ca <> cb").filter(self._fits()).select("a", "na", "b", "nb").distinct()
+
+    def _merge(self, label: DataFrame | None, found: DataFrame) -> DataFrame:
+        """node, comp after the components at the ends of found links are joined."""
+        if label is None:
+            return written(found.select(F.col("a").alias("node"), F.col("b").alias("comp")), "labels")
+        ends = found.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        old = label.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+        fresh = joined.select(F.col("comp").alias("node"), F.col("now").alias("comp")).join(label, "node", "left_anti")
+        return written(old.union(fresh), "labels")
+
+    def links(self) -> None:
+        """Finds label (node, comp): nodes that links connect, directly or through others, have one comp."""
         self._prepare()
         self._find_postings()
-        edges, label = None, None
-        for k in range(self.rounds + 1):
+        label = self._merge(None, self.postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+        for k in range(self.rounds):
             p = written(self._labelled(label), "labelled")
-            if k < self.rounds:
-                # one leader of each shingle; each node tries the leader that most of its shingles name
-                best = F.min(F.struct("comp", "node", "n", "place")) if k % 2 == 0 else F.max(F.struct("comp", "node", "n", "place"))
-                lead = p.groupBy("token").agg(best.alias("l")).select("token", F.col("l.comp").alias("cb"), F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.place").alias("pb"))
-                tried = p.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")).join(lead, "token").filter("ca <> cb").filter(self._fits())
-                votes = tried.groupBy("a", "na", "b", "nb").count()
-                one = votes.groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("v"))
-                pairs = one.select("a", "na", F.col("v.b").alias("b"), F.col("v.nb").alias("nb"))
-            else:
-                x = p.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-                y = p.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-                pairs = x.join(y, "token").filter("a < b and ca <> cb").filter(self._fits()).select("a", "na", "b", "nb").distinct()
+            pairs = written(self._trials(p, k), "pairs")
             found = written(self._proven(pairs), "links")
-            edges = found if edges is None else edges.union(found)
-            label = components(edges)
+            tried, linked = pairs.count(), found.count()
+            if linked:
+                label = self._merge(label, found)
+            if linked < WORTH * tried or not tried:
+                break
+        p = written(self._labelled(label), "labelled")
+        flagged, found = self._hosted(p, label)
+        found = written(found, "links")
+        if found.limit(1).count():
+            label = self._merge(label, found)
+        rest = flagged.filter("not hosted").drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        found = written(self._proven(written(self._all_pairs(rest), "pairs")), "links")
+        if found.limit(1).count():
+            label = self._merge(label, found)
         self.label = label
-        return edges
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
