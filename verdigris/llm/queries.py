@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import decontam, mixing, ngram_join, substring, token_files
+from verdigris.llm import chat, decontam, langid, line_rules, mixing, ngram_join, substring, token_counts, token_files, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +32,37 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.members(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_line(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(_table(spark, sf_dir, "conversations"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
+    return {"op1_pareto_mix": mixing.ORACLE, "op8_chat_format": chat.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_line_rules": line_rules.ORACLE}
