@@ -5,7 +5,7 @@ Rules: "majority" gives a token to the section that holds most of its characters
 section of its first character, "last" to that of its last. A token outside all sections is counted as unassigned. The
 interval join is a binary search of sorted, disjoint section ends, not a comparison of all pairs.
 
-Words between ASCII white space are encoded once per block of documents and their token offsets moved to each place; the
+Words between ASCII white space are encoded once in each worker and their token offsets moved to each place; the
 tokenizer drops white space, so these are the offsets of the whole text (tests hold the two against each other).
 
 Defined results: null text has no tokens and one empty section; empty lines are sections of 0 tokens; repeated rows get
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from verdigris.llm import _text as tx
+from verdigris.llm.token_files import CACHE_WORDS, IdTable, spread
 
 RULES = ("majority", "first", "last")
 
@@ -55,51 +56,62 @@ def allocate(start: np.ndarray, end: np.ndarray, s: np.ndarray, e: np.ndarray, r
 
 
 class Offsets:
-    """Token offsets (code points within the word) of distinct words."""
+    """Token offsets (code points within the word) of words, known by the 64-bit hash of their bytes and encoded once."""
 
-    def __init__(self, tokenizer_file: str, keep: int = 200_000):
+    def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(tokenizer_file), keep
-        self.known: dict[bytes, list[tuple[int, int]]] = {}
+        self.tokenizer, self.words = Tokenizer.from_file(tokenizer_file), IdTable("<u8")
 
-    def __call__(self, words: list[bytes]) -> list[list[tuple[int, int]]]:
-        if len(self.known) > self.keep:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False) if new else (), strict=True):
-            self.known[w] = e.offsets
-        return [self.known[w] for w in words]
+    def __call__(self, data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the tokens of all words, and the number of tokens of each word."""
+        keys, one, back = np.unique(tx.word_hashes(data, ws, we, False), return_index=True, return_inverse=True)
+        if self.words.size > CACHE_WORDS:
+            self.words.clear()
+        new = np.flatnonzero(self.words.find(keys)[0] < 0)
+        if len(new):
+            raw = data.tobytes()
+            for k in range(0, len(new), 20_000):
+                part = one[new[k : k + 20_000]]
+                found = self.tokenizer.encode_batch([raw[i:j].decode("utf-8", "replace") for i, j in zip(ws[part].tolist(), we[part].tolist(), strict=True)], add_special_tokens=False)
+                each = [e.offsets for e in found]
+                flat = np.array([p for x in each for p in x], dtype=np.uint64).reshape(-1, 2)
+                self.words.add(keys[new[k : k + 20_000]], flat[:, 0] << np.uint64(32) | flat[:, 1], np.array([len(x) for x in each], dtype=np.int64))
+        at, n = self.words.find(keys)
+        pairs = spread(self.words.pool, at[back], n[back])
+        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), n[back]
 
 
-def _spans(data: np.ndarray, off: np.ndarray, raw: bytes, offsets: Offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_KNOWN: dict[str, Offsets] = {}
+
+
+def offsets_of(tokenizer_file: str) -> Offsets:
+    """This process's offsets: what one task has learned serves the worker's next one."""
+    if tokenizer_file not in _KNOWN:
+        _KNOWN[tokenizer_file] = Offsets(tokenizer_file)
+    return _KNOWN[tokenizer_file]
+
+
+def _spans(data: np.ndarray, off: np.ndarray, offsets: Offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token starts and ends (code points of the block), each token's document, and code points before each byte."""
     ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    words = [raw[i:j] for i, j in zip(ws.tolist(), we.tolist(), strict=True)]
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    each = offsets(list(index))
-    n = np.array([len(x) for x in each], dtype=np.int64)
-    pool = np.array([p for x in each for p in x], dtype=np.int64).reshape(-1, 2)
-    base = np.cumsum(n) - n
-    k = n[ids]
-    at = np.repeat(base[ids] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+    a, b, k = offsets(data, ws, we)
     place = np.repeat(chars[ws], k)
     doc = np.repeat(np.repeat(np.arange(len(off) - 1), np.diff(first)), k)
-    return pool[at, 0] + place, pool[at, 1] + place, doc, chars
+    return a + place, b + place, doc, chars
 
 
 def by_line(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> DataFrame:
     """doc_id, n_tokens, n_sections, section_tokens (array<long>), unassigned: tokens of each line of each text."""
 
     def run(batches):
-        offsets = Offsets(tokenizer_file)
+        offsets = offsets_of(tokenizer_file)
         for table in tx.blocks(batches, limit=2 << 20):
             data, off = tx.column_bytes(table.column("text"))
-            raw, docs_ = data.tobytes(), table.num_rows
-            a, b, doc, chars = _spans(data, off, raw, offsets)
+            docs_ = table.num_rows
+            a, b, doc, chars = _spans(data, off, offsets)
             line = np.flatnonzero(data == 10)
             # a section starts at each document and after each line end; ends likewise
             s = np.concatenate([off[:-1], line + 1])
@@ -121,10 +133,10 @@ def by_span(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> Dat
     """As by_line, for the sections of column spans (array<struct<s, e>>, code points, sorted and disjoint; null: none)."""
 
     def run(batches):
-        offsets = Offsets(tokenizer_file)
+        offsets = offsets_of(tokenizer_file)
         for table in tx.blocks(batches, limit=2 << 20):
             data, off = tx.column_bytes(table.column("text"))
-            a, b, doc, chars = _spans(data, off, data.tobytes(), offsets)
+            a, b, doc, chars = _spans(data, off, offsets)
             spans = [x or [] for x in table.column("spans").to_pylist()]
             lines = np.array([len(x) for x in spans], dtype=np.int64)
             size = np.diff(chars[off])

@@ -5,7 +5,7 @@ PACK_IDS ids: shard (range of doc_id), pack, first_id (ids of the shard before t
 (packed little-endian longs), and ids (see simple8b). Packs hold whole documents. Shards are ranges of (doc_id, text), so
 ids before a document are the sums of earlier shards, of its shard's earlier packs and of its pack.
 
-Words between ASCII white space are encoded once for each block and remembered: the tokenizer drops white space and never
+Words between ASCII white space are encoded once in each worker and remembered: the tokenizer drops white space and never
 joins across it, so the ids are those of the whole text (tests hold the two against each other).
 
 Defined results: null text is empty (only the end id); a null doc_id comes first; rows that repeat a doc_id are each
@@ -29,69 +29,160 @@ from verdigris.llm import simple8b
 from verdigris.llm._work import pick, shared_dir
 
 PACK_IDS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_200_000
 END_ID = 1
 _PACKS = pa.schema([("shard", pa.int64()), ("pack", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_sizes", pa.binary()), ("ids", pa.binary())])
 _SCHEMA = "shard long, pack long, first_id long, n_ids long, doc_ids binary, null_ids binary, doc_sizes binary, ids binary"
 
 
+class IdTable:
+    """64-bit keys -> ids, in sorted levels over one pool of ids; emptied when it holds more than CACHE_WORDS keys."""
+
+    def __init__(self, dtype: str = "<u4"):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pool, self.used, self.size = np.empty(1 << 16, dtype=self.dtype), 0, 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in the pool (-1: unknown) and number of ids of each key."""
+        start, count = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for own, at, n in self.levels:
+            spot = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            hit = own[spot] == keys
+            start[hit], count[hit] = at[spot[hit]], n[spot[hit]]
+        return start, count
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New distinct keys with count ids each, one after the other in ids."""
+        if not len(keys):
+            return
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used // 2 + len(ids), dtype=self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.size += len(keys)
+        by = np.argsort(keys)
+        level = keys[by], start[by], count[by]
+        while self.levels and len(self.levels[-1][0]) < 3 * len(level[0]):
+            both = [np.concatenate(x) for x in zip(self.levels.pop(), level, strict=True)]
+            by = np.argsort(both[0])
+            level = tuple(x[by] for x in both)
+        self.levels.append(level)
+
+
+def spread(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """pool[start : start + count] of each, one after the other."""
+    return pool[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+
+
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[list(b".,!?;:")] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
 class WordEncoder:
-    """bytes of a text -> ids (little-endian u32), word by word with a bounded two-generation memory."""
+    """Whole texts -> ids. A word is known by the 64-bit hash of its bytes and encoded once.
+
+    Words of letters, with closing punctuation or not, go through their stem: letters and punctuation are different
+    pre-tokens, folding ASCII letters leaves the ids as they are, and stems of letters are one pre-token each, so many of
+    them are encoded as one text and told apart again. All other words are encoded by themselves.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _run(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _known(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        new, old = self.new, self.old
-        out, missing = {}, []
-        for p in pieces:
-            v = new.get(p)
-            if v is None:
-                v = old.get(p)
-                if v is None:
-                    missing.append(p)
-                    continue
-                new[p] = v
-            out[p] = v
-        for p, v in zip(missing, self._run(missing) if missing else (), strict=True):
-            out[p] = new[p] = v
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
-        return out
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of whole texts. ASCII letters are folded and closing punctuation is cut off first: both leave the ids as they are."""
-        split = [t.split() for t in texts]
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        pieces: set[bytes] = set()
-        for w in set().union(*split):
-            core = w.rstrip(b".,!?;:")
-            if core and core != w and core[-1:].isalpha() and b"<|" not in w:
-                tail, core = w[len(core) :], core.lower()
-            else:
-                tail, core = b"", w.lower() if b"<|" not in w else w
-            parts[w] = core, tail
-            pieces.add(core)
-            pieces.add(tail)
-        pieces.discard(b"")
-        known = self._known(pieces)
-        known[b""] = b""
-        whole = {w: known[a] + known[b] for w, (a, b) in parts.items()}
-        return [b"".join(map(whole.__getitem__, s)) for s in split]
+        self.words, self.stems, self.tails = IdTable(), IdTable(), {b"": np.empty(0, "<u4")}
+
+    def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False) if pieces else []
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _learn_stems(self, keys: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> None:
+        for k in range(0, len(keys), 4000):
+            part = raw_join(raw, s[k : k + 4000], e[k : k + 4000])
+            got = self.tokenizer.encode(part, add_special_tokens=False)
+            n = min(4000, len(keys) - k)
+            word = np.array(got.word_ids, dtype=np.int64)
+            count = np.bincount(word, minlength=n)
+            if len(count) != n or not count.all():
+                raise ValueError("the tokenizer splits a word of letters")
+            self.stems.add(keys[k : k + n], np.array(got.ids, dtype="<u4"), count)
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> None:
+        stop = e.copy()
+        while True:
+            more = (stop > s) & _PUNCT[data[stop - 1]]
+            if not more.any():
+                break
+            stop -= more
+        soft = np.concatenate([[0], np.cumsum(_LETTER[data] | (data >= 128), dtype=np.int32)])
+        hard = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
+        plain = (stop > s) & (hard[stop] - hard[s] == stop - s)
+        for i in np.flatnonzero((stop > s) & ~plain & (soft[stop] - soft[s] == stop - s)).tolist():
+            text = raw[s[i] : stop[i]].decode("utf-8", "replace")
+            plain[i] = text.isalpha() and text.lower().isalpha()
+        own = np.flatnonzero(plain)
+        if len(own):
+            stem = tx.word_hashes(data, s[own], stop[own], True)
+            uniq, one = np.unique(stem, return_index=True)
+            new = self.stems.find(uniq)[0] < 0
+            self._learn_stems(uniq[new], raw, s[own[one[new]]], stop[own[one[new]]])
+            at, n = self.stems.find(stem)
+            tails = [raw[i:j] for i, j in zip(stop[own].tolist(), e[own].tolist(), strict=True)]
+            missing = sorted(set(tails).difference(self.tails))
+            self.tails.update(zip(missing, self._alone(missing), strict=True))
+            size = np.array([len(self.tails[t]) for t in tails], dtype=np.int64)
+            out = np.empty(int((n + size).sum()), dtype="<u4")
+            base = np.cumsum(n + size) - (n + size)
+            out[np.repeat(base - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = spread(self.stems.pool, at, n)
+            if size.any():
+                out[np.repeat(base + n - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = np.concatenate([self.tails[t] for t in tails])
+            self.words.add(keys[own], out, n + size)
+        rest = np.flatnonzero(~plain)
+        found = self._alone([raw[i:j] for i, j in zip(s[rest].tolist(), e[rest].tolist(), strict=True)])
+        if found:
+            self.words.add(keys[rest], np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64))
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes data, offsets off) and the number of ids of each text."""
+        ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
+        keys, one, back = np.unique(tx.word_hashes(data, ws, we, False), return_index=True, return_inverse=True)
+        for table in (self.words, self.stems):
+            if table.size > CACHE_WORDS:
+                table.clear()
+        new = self.words.find(keys)[0] < 0
+        if new.any():
+            self._learn(keys[new], data, data.tobytes(), ws[one[new]], we[one[new]])
+        at, n = self.words.find(keys)
+        each = n[back]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return spread(self.words.pool, at[back], each), np.diff(total[first])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_file: str) -> WordEncoder:
+    """This process's encoder: what one task has learned serves the worker's next one."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
+def raw_join(raw: bytes, s: np.ndarray, e: np.ndarray) -> str:
+    return b" ".join([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]).decode("utf-8", "replace")
 
 
 def _write(tokenizer_file: str, end_id: int) -> Callable:
     def run(batches):
-        encoder, shard = WordEncoder(tokenizer_file), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer_file), TaskContext.get().partitionId()
         held, pack, first, size = [], 0, 0, 0
 
         def emit():
@@ -106,13 +197,12 @@ def _write(tokenizer_file: str, end_id: int) -> Callable:
             return pa.RecordBatch.from_pylist([row], schema=_PACKS)
 
         end = np.array([end_id], "<u4").tobytes()
-        for table in tx.blocks(batches, limit=2 << 20):
-            data, off = tx.column_bytes(table.column("text"))
-            raw = data.tobytes()
-            texts = [raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            for doc, ids in zip(table.column("doc_id").to_pylist(), encoder(texts), strict=True):
-                held.append((doc, ids + end))
-                size += len(ids) // 4 + 1
+        for table in tx.blocks(batches, limit=4 << 20):
+            ids, n = encoder(*tx.column_bytes(table.column("text")))
+            raw, stop = ids.tobytes(), np.cumsum(n).tolist()
+            for doc, i, j in zip(table.column("doc_id").to_pylist(), [0, *stop[:-1]], stop, strict=True):
+                held.append((doc, raw[4 * i : 4 * j] + end))
+                size += j - i + 1
                 if size >= PACK_IDS:
                     yield emit()
         if held:
