@@ -340,3 +340,69 @@ def _pixel_query(name: str):
 for _name, _sql in pixels.MEASURES.items():
     Q[_name] = _pixel_query(_name)
     SQL[_name] = _sql.replace("{px}", f"({pixels.RASTER_SQL})")
+
+
+# --- kernels over rasters (no SQL twin: tests hold them against closed forms and the measures above)
+
+
+def _images(spark, d):
+    """Rasters as RGB images of 64 x 64 pixels: each cell is 8 x 8."""
+    px = pixels.raster(emb(spark, d))
+    return px.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("r", "c", "rr", "g", "b", "fg"))).alias("cells"))  # 64 cells each
+
+
+def _kernel(fn, schema):
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for img, cells in zip(pdf["img"], pdf["cells"], strict=True):
+                x = np.array([(c["rr"], c["g"], c["b"], 255 * c["fg"]) for c in cells], dtype=np.uint8).reshape(8, 8, 4)
+                x = np.kron(x, np.ones((8, 8, 1), dtype=np.uint8))
+                rows += [(img, *r) for r in fn(x[..., :3], np.ascontiguousarray(x[..., 3]))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return lambda spark, d: _images(spark, d).mapInPandas(run, schema)
+
+
+def _all_features(rgb, mask):
+    from verdigris.plans.extract import features_of
+
+    return [(k, round(v, 6)) for k, v in sorted(features_of(rgb, mask, size=(64, 64))[0].items())]
+
+
+def _dominant(rgb, mask):
+    from verdigris.kernels import features
+
+    return [(k, round(v, 6)) for k, v in sorted(features.color(rgb, mask).items()) if k.startswith("dom_")]
+
+
+def _contour(rgb, mask):
+    from verdigris.kernels import image
+
+    found = image.contours(mask)
+    c = max(found, key=image.area) if found else None
+    return [(len(found), 0.0, 0.0, 0.0)] if c is None else [(len(found), image.area(c), round(image.perimeter(c), 6), image.area(image.hull(c)))]
+
+
+def _parts(rgb, mask):
+    from verdigris.kernels import image
+
+    _, size = image.components(mask > 0)
+    return [(len(size), int(size.max()) if len(size) else 0)]
+
+
+def _cleaned(rgb, mask):
+    from verdigris.kernels import preprocess
+
+    r = preprocess.run(rgb, size=(64, 64), method="grabcut", denoiser="gaussian")
+    return [(r.is_valid, r.validation.reason, round(r.coverage, 4))]
+
+
+Q["extract_features_raster"] = _kernel(_all_features, "img long, feature string, value double")
+Q["dominant_colours"] = _kernel(_dominant, "img long, feature string, value double")
+Q["contour_shape"] = _kernel(_contour, "img long, n_contours long, area double, perimeter double, hull_area double")
+Q["connected_components"] = _kernel(_parts, "img long, n_components long, largest long")
+Q["preprocess_raster"] = _kernel(_cleaned, "img long, is_valid boolean, reason string, coverage double")
