@@ -398,3 +398,15 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keep = members(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
     with_id = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
     return with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+
+
+#: members(n=4, percent=85), for tables without null doc_ids.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) >= 4 then list_transform(generate_series(1, len(ws) - 3), lambda p: array_to_string(list_slice(ws, p, p + 3), ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+o as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from o where 100 * c >= 85 * (na + nb - c)),
+r as (select doc_id, doc_id as root from s union select l.b, r.root from r join l on r.doc_id = l.a)
+select s.doc_id, len(any_value(sh))::BIGINT as n_shingles, min(root) as component_id from s join r on s.doc_id = r.doc_id group by s.doc_id
+"""

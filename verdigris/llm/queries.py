@@ -65,4 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op8_chat_format": chat.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_line_rules": line_rules.ORACLE}
+    return {
+        "op1_pareto_mix": mixing.ORACLE,
+        "op3_substring_dedup": substring.ORACLE,
+        "op6_ngram_jaccard_join": ngram_join.ORACLE,
+        "op8_chat_format": chat.ORACLE,
+        "op9_decontamination": decontam.ORACLE,
+        "op10_line_rules": line_rules.ORACLE,
+    }

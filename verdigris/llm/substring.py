@@ -197,6 +197,18 @@ def digest(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+#: For tables without repeated doc_ids.
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+i as (select doc_id, p0, array_to_string(list_slice(ws, p0, p0 + 19), ' ') as win from (select doc_id, ws, unnest(generate_series(1, len(ws) - 19)) as p0 from w)),
+d as (select doc_id, p0 from (select doc_id, p0, row_number() over (partition by win order by doc_id, p0) as k from i) where k > 1),
+c as (select distinct doc_id, p from (select doc_id, unnest(generate_series(p0, p0 + 19)) as p from d)),
+u as (select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as p from w),
+k as (select u.doc_id, string_agg(word, ' ' order by u.p) filter (c.p is null) as kept, count(c.p) as n_removed from u left join c on u.doc_id = c.doc_id and u.p = c.p group by u.doc_id)
+select w.doc_id, len(ws)::BIGINT as n_words, coalesce(n_removed, 0)::BIGINT as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, str]]:
     """The contract by plain loops over distinct ids, for tests."""
     seen: set = set()
