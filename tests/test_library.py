@@ -424,3 +424,17 @@ def test_registered_queries_match_sql(spark):
         assert sorted((tuple(fix(r[c]) for c in cols) for r in df.collect()), key=repr) == want, name
     assert entry.entry(spark).count() == 5
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_sql_functions_and_path_labels(spark):
+    from verdigris.functions.sql import register
+
+    register(spark)
+    r = spark.sql("select l2_norm(array(3D, 4D)) as n, l2_distance(array(0D, 1D), array(3D, 5D)) as d, dot_product(array(1D, 2D), array(3D, 4D)) as p, l2_normalize(array(3D, 4D)) as u").first()
+    assert (r["n"], r["d"], r["p"]) == (5, 5, 11) and abs(r["u"][0] - 0.6) < 1e-6
+    records = spark.createDataFrame([(0, "x.png", "s"), (1, "x.png", "t")], "record_idx long, image_path string, label string")
+    paths = spark.createDataFrame([("x.png",), ("a/y.png",)], "path string")
+    assert {r["path"]: r["label"] for r in P.labels_of_paths(paths, records).collect()} == {"x.png": "s", "a/y.png": "a"}
+    box = C.draw_box(np.zeros((20, 20, 3), np.uint8), (5, 5, 10, 10))
+    assert box[5, 5, 0] == 255 and box[10, 10, 0] == 0
+    assert "valid" in C.Result(False, C.Validation(False, "x")).summary()

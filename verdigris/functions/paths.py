@@ -45,6 +45,14 @@ def eval_label(path: Column, stored: Column) -> Column:
     return F.when(~generic, parent(path)).when(F.instr(stem(path), "_tree_") > 0, marked).otherwise(F.coalesce(stored, parent(path)))
 
 
+def labels_of_paths(paths: DataFrame, records: DataFrame) -> DataFrame:
+    """path, label: the evaluation label of the first record (record_idx, image_path, label) with that path, else its parent."""
+    first = records.groupBy("image_path").agg(F.min_by("label", "record_idx").alias("stored"))
+    both = paths.select("path").distinct().join(first, F.col("path") == F.col("image_path"), "left")
+    found = F.when(F.col("image_path").isNotNull(), eval_label(F.col("path"), F.col("stored"))).otherwise(parent(F.col("path")))
+    return both.select("path", found.alias("label"))
+
+
 def sort_key(path: Column) -> Column:
     """Path parts: the extractor sorts by parts, the preprocessing scan by the whole string."""
     return F.split(path, "/")

@@ -208,6 +208,16 @@ def crop(rgb: np.ndarray, mask: np.ndarray, padding: float = 0.07) -> tuple[np.n
     return rgb[y1:y2, x1:x2].copy(), mask[y1:y2, x1:x2].copy(), (x1, y1, x2 - x1, y2 - y1)
 
 
+def draw_box(rgb: np.ndarray, box: tuple[int, int, int, int], colour: tuple[int, int, int] = (255, 0, 0), width: int = 2) -> np.ndarray:
+    """A copy with the box's border painted."""
+    out = rgb.copy()
+    x, y, w, h = box
+    part = out[y : y + h, x : x + w]
+    for edge in (part[:width], part[-width:], part[:, :width], part[:, -width:]):
+        edge[...] = colour
+    return out
+
+
 def centre(rgb: np.ndarray, mask: np.ndarray, size: tuple[int, int] = (512, 512), background: int = 255) -> tuple[np.ndarray, np.ndarray]:
     ow, oh = size
     out, om = np.full((oh, ow, 3), background, dtype=np.uint8), np.zeros((oh, ow), dtype=np.uint8)
@@ -248,6 +258,10 @@ class Result:
     def coverage(self) -> float:
         return 0.0 if self.mask is None else float((self.mask > 0).mean())
 
+    def summary(self) -> str:
+        lines = [f"valid: {self.is_valid} ({self.validation.reason})", *(f"{k}: {v}" for k, v in self.metadata.items())]
+        return "\n".join(lines)
+
 
 def run(rgb: np.ndarray, orientation: int = 1, size: tuple[int, int] = (512, 512), method: str = "rembg", denoiser: str = "nlmeans", augmented: bool = False, seed: int | None = None, min_size: int = 64) -> Result:
     """All steps for one image."""

@@ -58,8 +58,7 @@ def per_label(queries: DataFrame) -> DataFrame:
 
 def grouped(queries: DataFrame) -> DataFrame:
     """map and n per label and over all (all_labels) in one pass of grouping sets."""
-    queries.createOrReplaceTempView("_per_query")
-    return queries.sparkSession.sql("select q_label, grouping(q_label) = 1 as all_labels, avg(ap) as map, count(*) as n from _per_query group by grouping sets ((q_label), ())")
+    return queries.sparkSession.sql("select q_label, grouping(q_label) = 1 as all_labels, avg(ap) as map, count(*) as n from {q} group by grouping sets ((q_label), ())", q=queries)
 
 
 def ap_buckets(queries: DataFrame) -> DataFrame:
