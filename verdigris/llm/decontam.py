@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._work import maybe_broadcast, pick, written
+from verdigris.llm._work import maybe_broadcast, narrow, pick, written
 
 SIZE, SHINGLE = 10, 5
 #: what stands between words, once A-Z are a-z
@@ -61,21 +61,21 @@ class Decontaminator:
         for k in lengths or [self.shingle]:
             own = self.wins.filter(F.least(F.size("ww"), F.lit(self.shingle)) == k)
             parts.append(own.select("win", "ww", F.lit(k).alias("k"), F.posexplode(_shingles(F.col("ww"), k)).alias("off", "h")))
-        shingles = written(_union(parts), "shingles")
+        shingles = narrow(_union(parts), "shingles")
         for k in lengths or [self.shingle]:
-            wanted = written(shingles.filter(F.col("k") == k).select("h").distinct(), "wanted")
+            wanted = narrow(shingles.filter(F.col("k") == k).select("h").distinct(), "wanted")
             rows = base.select("dk", "rk", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h"))
             found.append(rows.join(maybe_broadcast(wanted), "h").select("dk", "rk", "pos", F.lit(k).alias("k"), "h"))
         found = written(_union(found), "found")
         rarity = found.groupBy("k", "h").count()
         rarest = shingles.join(rarity, ["k", "h"], "left").groupBy("win", "ww", "k").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "off")).alias("x"))
-        prefix = written(rarest.filter("x.c > 0").select("win", "ww", "k", F.col("x.h").alias("h"), F.col("x.off").alias("off")), "prefix")
+        prefix = narrow(rarest.filter("x.c > 0").select("win", "ww", "k", F.col("x.h").alias("h"), F.col("x.off").alias("off")), "prefix")
         at = found.join(maybe_broadcast(prefix, 100_000), ["k", "h"]).withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
         return at.groupBy("dk", "rk").agg(F.collect_set(F.struct("start", "ww", "win")).alias("cands"))
 
     def checked(self) -> DataFrame:
         """doc_id, dk, rk (the row's key), n_words, n_hit, starts (of hits), wins (their hashes) of every row."""
-        self.wins = written(windows(self.items, self.size), "windows")
+        self.wins = narrow(windows(self.items, self.size), "windows")
         base = pick(self.docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("doc_id", "text").alias("rk"), "text")
         cands = self._candidates(base.select("dk", "rk", item_words(F.col("text")).alias("words")))
         both = base.join(cands, ["dk", "rk"], "left").withColumn("words", item_words(F.col("text"))).drop("text")
@@ -112,7 +112,7 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of docs without a hit, all columns kept."""
     checked = Decontaminator(docs, items, size).checked()
-    bad = written(checked.filter("n_hit > 0").select("dk", "rk").distinct(), "hit")
+    bad = narrow(checked.filter("n_hit > 0").select("dk", "rk").distinct(), "hit")
     keyed = docs.withColumn("d_dk", F.coalesce("doc_id", F.lit(0))).withColumn("d_rk", F.xxhash64("doc_id", "text"))
     bad = maybe_broadcast(bad.select(F.col("dk").alias("d_dk"), F.col("rk").alias("d_rk")))
     return keyed.join(bad, ["d_dk", "d_rk"], "left_anti").drop("d_dk", "d_rk")
