@@ -406,3 +406,22 @@ def test_line_rules_clean(spark):
     got = line_rules.clean(df).collect()
     assert [(r["doc_id"], r["text"], r["words"]) for r in got] == [(1, body, "x")]
     assert line_rules.clean(df.limit(0)).count() == 0
+
+
+# --- very long texts
+
+
+def test_very_long_texts(spark):
+    """One text of 150,000 words (and a word of 200,000 letters) beside short ones, through every operator over documents."""
+    long_ = text(5, 150_000, 40_000) + "\n" + "x" * 200_000
+    rows = [(0, long_, "en", "a"), (1, text(6, 50), "en", "b"), (2, text(5, 150_000, 40_000)[:3000].rsplit(" ", 1)[0], "de", "a")]
+    df, items = docs_df(spark, rows), spark.createDataFrame([(1, rows[1][1])], "item_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring.digest(df).collect()} == substring.brute_force([r[:2] for r in rows])
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.encode_and_read(df, queries.tokenizer_file()).collect()} == brute_tokens([r[:2] for r in rows])
+    assert sorted(tuple(r) for r in ngram_join.members(df, 4, 85).collect()) == brute_components([r[:2] for r in rows], 4, 85)
+    assert langid.digest(df).count() == weak_quality.classify(df).count() == mixing.counts(df).count() == 3
+    assert {r["doc_id"]: r["n_words"] for r in line_rules.digest(df).collect()} == {r[0]: len(r[1].split()) for r in rows}
+    assert {r["doc_id"]: r["contaminated"] for r in decontam.digest(df, items).collect()} == {0: False, 1: True, 2: False}
+    got = {r["doc_id"]: r for r in token_counts.by_line(df, queries.tokenizer_file()).collect()}
+    assert got[0]["n_sections"] == 2 and sum(got[0]["section_tokens"]) == got[0]["n_tokens"]
+    assert token_counts.by_line(df.limit(0), queries.tokenizer_file()).count() == 0
