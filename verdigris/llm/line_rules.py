@@ -62,11 +62,13 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at", "again")
 
 
-def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words (in failing lines), base_failed, kept."""
+def measure(docs: DataFrame, *keep: str, **more: Column) -> DataFrame:
+    """keep columns, more (expressions over column words, the text's words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words (in failing lines), base_failed, kept."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_"))
     rows = rows.withColumn("words", split_words(F.col("text_"))).withColumn("lines", lines_of(F.col("text_")))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+    for name, expression in more.items():
+        rows = rows.withColumn(name, expression)
     rows = rows.withColumn("n_symbols", F.coalesce(F.regexp_count("text_", F.lit(SYMBOL)), F.lit(0)).cast("long"))
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     rows = rows.withColumn("n_lost_words", F.aggregate(F.transform("lines", lambda x: F.when(bad_line(x), word_count(x)).otherwise(0)), F.lit(0), lambda a, x: a + x).cast("long"))

@@ -22,7 +22,7 @@ from verdigris.llm import _text as tx
 from verdigris.llm import line_rules
 from verdigris.llm._work import written
 
-BUCKETS, GRAMS, LAGS = 1 << 16, 4, 5
+BUCKETS, GRAMS, LAGS, SCALE = 1 << 16, 3, 5, 10.0
 MAX_TRAIN, MAX_CHARS, STEPS, RATE, DECAY = 3000, 30_000, 60, 0.5, 1e-4
 BAD, GOOD, NONE = 0, 1, 2
 U64 = np.uint64
@@ -36,12 +36,14 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def labellers() -> dict[str, Column]:
-    """Votes over the columns of line_rules.measure and upper, marks, chars."""
+    """Votes over the columns of line_rules.measure and upper, marks (characters), n_distinct, n_stutter (words)."""
     n = F.col("n_words")
     return {
         "length": _vote(n < 8, n >= 25),
         "symbols": _vote(F.col("n_symbols") > 0.2 * n, F.col("n_symbols") == 0),
         "repeats": _vote(F.col("n_repeat_words") > 0.2 * n, F.col("n_repeat_words") < 0.05 * n),
+        "variety": _vote((n >= 25) & (6 * F.col("n_distinct") < n), 4 * F.col("n_distinct") >= n),
+        "stutter": _vote(F.col("n_stutter") > 0.1 * n, F.col("n_stutter") < 0.02 * n),
         "lines": _vote(F.col("n_lost_words") > 0.5 * n, F.col("n_lost_words") < 0.2 * n),
         "case": _vote(F.col("upper") > 0.3 * F.col("word_chars"), F.col("upper") < 0.1 * F.col("word_chars")),
         "stops": _vote((n >= 25) & (60 * F.col("marks") < n), (n >= 25) & (30 * F.col("marks") >= n)),
@@ -52,7 +54,9 @@ def labellers() -> dict[str, Column]:
 def votes(docs: DataFrame) -> DataFrame:
     """doc_id, dk, rk (the row's key), pattern (one digit per labeller)."""
     rows = docs.select(F.struct("doc_id", F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("doc_id", "text").alias("rk"), F.regexp_count("text", F.lit("[A-Z]")).alias("upper"), F.regexp_count("text", F.lit("[.!?]")).alias("marks")).alias("k"), "text")
-    rows = line_rules.measure(rows, "k").select("k.*", "*")
+    w = F.col("words")
+    stutter = F.size(F.filter(F.transform(w, lambda x, i: F.get(w, i - 1) == x), lambda same: same))
+    rows = line_rules.measure(rows, "k", n_distinct=F.size(F.array_distinct(w)), n_stutter=stutter).select("k.*", "*")
     rows = rows.withColumn("upper", F.coalesce("upper", F.lit(0))).withColumn("marks", F.coalesce("marks", F.lit(0)))
     return rows.select("doc_id", "dk", "rk", F.concat(*[v.cast("string") for v in labellers().values()]).alias("pattern"))
 
@@ -98,36 +102,40 @@ def em(counts: dict[str, int], steps: int = 100) -> Accuracies:
     return model
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, value): n-grams of byte classes and words equal to one of the LAGS before, as shares."""
+def features(data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Dense part: for each n, (document, bucket) of every n-gram of byte classes, each worth SCALE over the text's bytes.
+    Sparse part: (document, bucket, value) of words equal to one of the LAGS before, and of short texts."""
     docs = len(off) - 1
-    kind = _CLASS[data]
-    size = np.diff(off)
-    doc = np.repeat(np.arange(docs), size)
-    left = off[1:][doc] - np.arange(len(data))
-    rolled = np.zeros(len(data), dtype=np.uint64)
-    keys = []
+    kind, size = _CLASS[data], np.diff(off)
+    doc = np.repeat(np.arange(docs, dtype=np.int32), size)
+    rolled, dense = np.zeros(len(data), dtype=np.uint64), []
     for n in range(1, GRAMS + 1):
         m = len(data) - n + 1
         if m <= 0:
             break
         rolled[:m] = rolled[:m] * U64(257) + kind[n - 1 :]
-        ok = np.flatnonzero(left[:m] >= n)
-        keys.append((doc[ok].astype(np.int64) << 16) | (tx.mix(rolled[ok] + U64(n << 48)) & U64(BUCKETS - 1)).astype(np.int64))
-    flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    pair, count = np.unique(flat, return_counts=True)
-    d, b = pair >> 16, pair & (BUCKETS - 1)
-    v = np.sqrt(count / np.maximum(size[d], 1))
+        ok = doc[:m] == doc[n - 1 :]
+        dense.append((doc[:m][ok], ((rolled[:m][ok] + U64(n << 40)) * U64(0x9E3779B97F4A7C15) >> U64(48)).astype(np.uint16)))
     ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
-    h, own = tx.word_hashes(data, ws, we, True), np.repeat(np.arange(docs), np.diff(first))
+    words = np.diff(first)
+    h, own = tx.word_hashes(data, ws, we, True), np.repeat(np.arange(docs), words)
+    d, b, v = [np.flatnonzero(words < 10)], [np.full((words < 10).sum(), 77)], [np.ones((words < 10).sum())]
     for lag in range(1, LAGS + 1):
         same = np.bincount(own[lag:][(h[lag:] == h[:-lag]) & (own[lag:] == own[:-lag])], minlength=docs) if len(h) > lag else np.zeros(docs)
         has = np.flatnonzero(same)
-        d, b = np.concatenate([d, has]), np.concatenate([b, np.full(len(has), int(tx.mix(np.array([lag + 999], np.uint64))[0] & U64(BUCKETS - 1)))])
-        v = np.concatenate([v, np.sqrt(same[has] / np.diff(first)[has])])
-    few = np.flatnonzero(np.diff(first) < 10)
-    d, b, v = np.concatenate([d, few]), np.concatenate([b, np.full(len(few), 77)]), np.concatenate([v, np.ones(len(few))])
-    return d, b, v
+        d.append(has)
+        b.append(np.full(len(has), 100 + lag))
+        v.append(SCALE * same[has] / words[has])
+    return dense, np.concatenate(d), np.concatenate(b), np.concatenate(v)
+
+
+def raw_scores(w: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    dense, d, b, v = features(data, off)
+    docs = len(off) - 1
+    z = np.zeros(docs)
+    for doc, bucket in dense:
+        z += np.bincount(doc, w[bucket], docs)
+    return z * SCALE / np.maximum(np.diff(off), 1) + np.bincount(d, w[b] * v, docs) + w[-1]
 
 
 def fit_scorer(texts: list[str], good: np.ndarray) -> np.ndarray:
@@ -135,7 +143,12 @@ def fit_scorer(texts: list[str], good: np.ndarray) -> np.ndarray:
     w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
     if not texts:
         return w
-    d, b, v = features(*tx.column_bytes(pa.array(texts, pa.string())))
+    data, off = tx.column_bytes(pa.array(texts, pa.string()))
+    dense, d, b, v = features(data, off)
+    size = np.maximum(np.diff(off), 1)
+    for doc, bucket in dense:
+        pair, count = np.unique(doc.astype(np.int64) << 16 | bucket, return_counts=True)
+        d, b, v = np.concatenate([d, pair >> 16]), np.concatenate([b, pair & 0xFFFF]), np.concatenate([v, SCALE * count / size[pair >> 16]])
     for _ in range(STEPS):
         z = np.bincount(d, w[b] * v, len(texts)) + w[-1]
         diff = good - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -145,13 +158,19 @@ def fit_scorer(texts: list[str], good: np.ndarray) -> np.ndarray:
     return w
 
 
+def _fit_task(batches):
+    """Fits in one executor task: the driver only holds the weights."""
+    rows = sorted((t, p) for b in batches for t, p in zip(b.column("text").to_pylist(), b.column("posterior").to_pylist(), strict=True))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([fit_scorer([t for t, _ in rows], np.array([p for _, p in rows])).tobytes()], pa.binary())], ["w"])
+
+
 def _score(shared):
     def run(batches):
         w = shared.value
         for table in tx.blocks(batches, limit=2 << 20):
             data, off = tx.column_bytes(table.column("text"))
-            d, b, v = features(data, off)
-            z = np.bincount(d, w[b] * v, table.num_rows) + w[-1]
+            z = raw_scores(w, data, off)
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             _, _, first = tx.word_spans(data, off, ~tx.SPACE)
             score[np.diff(first) == 0] = 0.0
@@ -169,9 +188,9 @@ def classify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     known = spark.createDataFrame([(p, model.posterior(p)) for p in sorted(counts)], "pattern string, posterior double")
     label = cast.dropDuplicates(["dk", "rk"]).join(F.broadcast(known), "pattern").select("dk", "rk", "pattern", "posterior")
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("doc_id", "text").alias("rk"), "text")
-    chosen = keyed.filter(F.length("text") <= MAX_CHARS).orderBy("rk", "dk").limit(max_train).join(label, ["dk", "rk"]).select("text", "posterior").collect()
-    chosen = sorted((r["text"], r["posterior"]) for r in chosen)
-    w = fit_scorer([t for t, _ in chosen], np.array([p for _, p in chosen]))
+    chosen = keyed.filter(F.length("text") <= MAX_CHARS).orderBy("rk", "dk").limit(max_train).join(label, ["dk", "rk"]).select("text", "posterior").repartition(1)
+    got = chosen.mapInArrow(_fit_task, "w binary").first()
+    w = np.frombuffer(bytes(got["w"])) if got else fit_scorer([], np.empty(0))
     scored = keyed.mapInArrow(_score(spark.sparkContext.broadcast(w)), "doc_id long, dk long, rk long, score double")
     out = scored.join(label, ["dk", "rk"])
     return out.select("doc_id", F.col("pattern").alias("votes"), "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
