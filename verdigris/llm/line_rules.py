@@ -35,13 +35,19 @@ def word_count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
+#: what a line needs before its marks are worth counting, and what a line of SHORT words or more holds
+ANY_MARK = r"[#*$%&|<>»›]|!!"
+ENOUGH = rf"{WORD}(?:{BETWEEN}{WORD}){{{SHORT - 1}}}"
+
+
 def bad_line(line: Column) -> Column:
-    """Whether a line fails a rule."""
+    """Whether a line fails a rule. Most lines have no mark at all, so marks and words are only counted where one is found."""
     n = word_count(line)
     punctuation = (F.regexp_count(line, F.lit(SYMBOL)) >= MARKS * n) | (F.regexp_count(line, F.lit(SHOUT)) >= MARKS * n)
     marks = F.regexp_count(line, F.lit(SEPARATOR))
-    navigation = ((marks >= SEPARATORS) & (4 * marks >= n)) | ((n < SHORT) & ~line.rlike(CLOSED))
-    return punctuation | navigation | line.rlike(PHRASES)
+    counted = F.when(line.rlike(ANY_MARK), punctuation | ((marks >= SEPARATORS) & (4 * marks >= n))).otherwise(False)
+    few = ~line.rlike(ENOUGH) & ~line.rlike(CLOSED)
+    return counted | few | line.rlike(PHRASES)
 
 
 def lines_of(text: Column) -> Column:
