@@ -6,6 +6,7 @@ hash. A block of documents is bounded by bytes, so memory follows the block and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +118,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def trim() -> None:
+    """Gives freed memory back to the machine: Python workers are kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Tables of consecutive rows holding about limit bytes of text (more only if one row does)."""
     held, size = [], 0
@@ -137,6 +147,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    trim()
 
 
 def planes(x: np.ndarray) -> bytes:

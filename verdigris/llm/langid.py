@@ -28,9 +28,9 @@ from verdigris.llm import _text as tx
 U64 = np.uint64
 BUCKETS = 1 << 18
 MAX_DOCS, MAX_CHARS, PIECE, LENGTH = 600, 30_000, 24, 192
-EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.2, 1e-5
+EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.2, 1e-5
 UND = "und"
-_WORDS_AT_ONCE = 40_000
+_WORDS_AT_ONCE = 10_000
 
 
 @dataclass
@@ -153,8 +153,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     model = Model(langs, emit, move, lexicon)
     if not len(ws) or count < 2:
         return model
-    bucket, value, start = _features(data, ws[one], we[one], uniq, lexicon)
-    spread = np.diff(np.append(start, len(bucket)))
+    parts = []
+    for i in range(0, len(one), _WORDS_AT_ONCE):
+        own = one[i : i + _WORDS_AT_ONCE]
+        b, v, f = _features(data, ws[own], we[own], hashes[own], lexicon)
+        parts.append((b.astype(np.int32), v, np.diff(np.append(f, len(b)))))
+    bucket, value, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
+    start = np.cumsum(spread) - spread
+    del parts, hashes
     rng = np.random.default_rng(seed)
     cuts = np.concatenate([np.arange(i, j, PIECE) for i, j in zip(first[:-1], first[1:], strict=True) if j > i])
     ends = np.minimum(cuts + PIECE, first[np.searchsorted(first, cuts, side="right")])
@@ -181,9 +187,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             inside = np.ones(total - 1, dtype=bool)
             inside[np.cumsum(size)[:-1] - 1] = False
             np.add.at(seen, (truth[:-1][inside], truth[1:][inside]), 1)
-            by_word = np.stack([np.bincount(inner, diff[:, k], len(used)) for k in range(count)], axis=1)
-            spread_to = np.repeat(by_word, spread[used], axis=0) * v[:, None]
-            g = np.stack([np.bincount(b, spread_to[:, k], BUCKETS) for k in range(count)], axis=1).astype(np.float32) / total - DECAY * emit
+            by_word = [np.bincount(inner, diff[:, k], len(used)) for k in range(count)]
+            g = np.stack([np.bincount(b, np.repeat(x, spread[used]) * v, BUCKETS).astype(np.float32) for x in by_word], axis=1) / total - DECAY * emit
             grad_e += g * g
             emit += RATE * g / np.sqrt(grad_e)
             g = (seen - expected) / total - DECAY * move
@@ -201,8 +206,21 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -
     """Learns from docs (doc_id, text, lang): at most max_docs texts of each language, of at most max_chars each."""
     rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    got = rows.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("text", "lang").collect()
-    return train(sorted((r["text"], r["lang"]) for r in got))
+    sample = rows.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("text", "lang").repartition(1)
+    got = sample.mapInArrow(_train_task, "langs array<string>, emit binary, move binary, lexicon binary").first()
+    if got is None:
+        return train([])
+    n = len(got["langs"])
+    return Model(list(got["langs"]), np.frombuffer(bytes(got["emit"]), np.float32).reshape(BUCKETS, n), np.frombuffer(bytes(got["move"]), np.float64).reshape(n, n), np.frombuffer(bytes(got["lexicon"]), np.uint64))
+
+
+def _train_task(batches):
+    """Trains in one executor task, so that the driver only ever holds the model, whose size is fixed."""
+    rows = sorted((t, lang) for b in batches for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))
+    if rows:
+        m = train(rows)
+        tx.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([m.langs]), pa.array([m.emit.tobytes()], pa.binary()), pa.array([m.move.tobytes()], pa.binary()), pa.array([m.lexicon.tobytes()], pa.binary())], ["langs", "emit", "move", "lexicon"])
 
 
 def _letters(data: np.ndarray) -> np.ndarray:

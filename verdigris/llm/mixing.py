@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm._work import maybe_broadcast, pick, written
+from verdigris.llm._work import maybe_broadcast, narrow, pick, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1024
@@ -74,7 +74,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     sizes = written(_keyed(pick(docs, "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size"))), "sizes")
     goal = targets(sizes, weights, share, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("copies", F.floor("rate")).withColumn("f", F.col("rate") - F.col("copies")).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    goal = written(goal.withColumn("odds", F.when(F.col("f") > 0, F.col("f") / (1 - F.col("f")))).drop("rate", "f"), "targets")
+    goal = narrow(goal.withColumn("odds", F.when(F.col("f") > 0, F.col("f") / (1 - F.col("f")))).drop("rate", "f"), "targets")
     drawn = _ranked(_joined(sizes, goal), seed).filter("q is not null").select(*key, "doc_id", "size", "rest", "q", "c1", "c2")
 
     def cut(rows: DataFrame, cell: str, *more: str) -> DataFrame:
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
         base = F.col("before") if "before" in more else F.lit(0)
         run = sums.withColumn("run", F.sum("cell_sum").over(w) + base).filter(F.col("run") > F.col("rest"))
         first = run.groupBy(*key).agg(F.min(F.struct(cell, F.col("run") - F.col("cell_sum"))).alias("x"))
-        return written(first.select(*key, F.col("x")[cell].alias(cell), F.col("x")["col2"].alias("before")), "cells")
+        return narrow(first.select(*key, F.col("x")[cell].alias(cell), F.col("x")["col2"].alias("before")), "cells")
 
     one = cut(drawn, "c1")
     inside = _joined(drawn, one, [*key, "c1"])
@@ -95,14 +95,14 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     last = fits.filter("run <= rest").groupBy(*key).agg(F.max(F.struct("q", "doc_id")).alias("l"), F.max("run").alias("run"))
     cuts = goal.join(one.select(*key, F.col("c1").alias("b1")), key, "left").join(two.select(*key, F.col("c2").alias("b2"), "before"), key, "left").join(last, key, "left")
     cuts = cuts.select(*key, "source_size", "target", "copies", "odds", "rest", "b1", "b2", F.col("l.q").alias("last_q"), F.col("l.doc_id").alias("last_id"), F.coalesce("run", "before", F.lit(0)).alias("run"))
-    cuts = written(cuts.withColumn("gap", F.when(F.col("b1").isNotNull(), F.col("rest") - F.col("run"))).drop("rest", "run"), "cuts")
+    cuts = narrow(cuts.withColumn("gap", F.when(F.col("b1").isNotNull(), F.col("rest") - F.col("run"))).drop("rest", "run"), "cuts")
     cuts = cuts.withColumn("closers", F.array().cast("array<struct<q: double, id: bigint>>"))
     for _ in range(CLOSERS):
         open_ = _joined(drawn.drop("rest"), cuts).filter(~_taken() & ~_closes()).withColumn("miss", F.abs(F.col("gap") - F.col("size"))).filter("miss < gap")
         best = open_.groupBy(*key).agg(F.min(F.struct("miss", "q", "doc_id", "size")).alias("x"))
         found = F.col("x").isNotNull()
         nearer = F.when(found, F.concat("closers", F.array(F.struct(F.col("x.q").alias("q"), F.col("x.doc_id").alias("id"))))).otherwise(F.col("closers"))
-        cuts = written(cuts.join(best, key, "left").withColumn("closers", nearer).withColumn("gap", F.col("gap") - F.coalesce("x.size", F.lit(0))).drop("x"), "plan")
+        cuts = narrow(cuts.join(best, key, "left").withColumn("closers", nearer).withColumn("gap", F.col("gap") - F.coalesce("x.size", F.lit(0))).drop("x"), "plan")
     return sizes, cuts
 
 

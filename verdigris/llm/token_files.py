@@ -29,7 +29,7 @@ from verdigris.llm import simple8b
 from verdigris.llm._work import pick, shared_dir
 
 PACK_IDS = 1 << 18
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 END_ID = 1
 _PACKS = pa.schema([("shard", pa.int64()), ("pack", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_sizes", pa.binary()), ("ids", pa.binary())])
 _SCHEMA = "shard long, pack long, first_id long, n_ids long, doc_ids binary, null_ids binary, doc_sizes binary, ids binary"
