@@ -25,8 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df computed once, as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/verdigris-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._verdigris_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no result needs any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._verdigris_path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of a narrow table in one file.

@@ -18,7 +18,6 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +64,7 @@ def unescape_role(role: str) -> str:
 
 
 def _same(a, b) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
+    return a == b or (a is None or a != a) and (b is None or b != b)
 
 
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
@@ -76,6 +75,8 @@ def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """One row per turn: seq, formatted (control strings and escaped text), the loss span in it (code points, empty: none),
     the machine's state after it ('error' once an order is wrong) and whether the order is right so far."""
 
+    import pandas as pd  # only where conversations are formatted
+
     def run(frames):
         conv, state, seq = object(), template.start, 0
         for pdf in frames:
@@ -132,7 +133,9 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     return _ordered(formatted, "seq").mapInPandas(run, _DIGEST)
 
 
-def _digests(rows: list[tuple]) -> pd.DataFrame:
+def _digests(rows: list[tuple]):
+    import pandas as pd
+
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGEST.split(", ")])
     out["conv_id"] = out["conv_id"].astype("Int64")
     return out

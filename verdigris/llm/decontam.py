@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._work import maybe_broadcast, narrow, pick, written
+from verdigris.llm._work import discard, maybe_broadcast, narrow, pick, written
 
 SIZE, SHINGLE = 10, 5
 #: what stands between words, once A-Z are a-z
@@ -66,7 +66,7 @@ class Decontaminator:
             wanted = narrow(shingles.filter(F.col("k") == k).select("h").distinct(), "wanted")
             rows = base.select("dk", "rk", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h"))
             found.append(rows.join(maybe_broadcast(wanted), "h").select("dk", "rk", "pos", F.lit(k).alias("k"), "h"))
-        found = written(_union(found), "found")
+        self.found = found = written(_union(found), "found")
         rarity = found.groupBy("k", "h").count()
         rarest = shingles.join(rarity, ["k", "h"], "left").groupBy("win", "ww", "k").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "off")).alias("x"))
         prefix = narrow(rarest.filter("x.c > 0").select("win", "ww", "k", F.col("x.h").alias("h"), F.col("x.off").alias("off")), "prefix")
@@ -87,6 +87,7 @@ class Decontaminator:
     def report(self) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids of every row."""
         rows = written(self.checked(), "checked")
+        discard(self.found)
         pairs = rows.filter("n_hit > 0").select("dk", "rk", F.explode("wins").alias("win")).distinct()
         named = pairs.join(maybe_broadcast(self.wins.select("win", "ids"), 100_000), "win")
         items = named.select("dk", "rk", F.explode("ids").alias("item")).groupBy("dk", "rk").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
@@ -111,8 +112,9 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of docs without a hit, all columns kept."""
-    checked = Decontaminator(docs, items, size).checked()
-    bad = narrow(checked.filter("n_hit > 0").select("dk", "rk").distinct(), "hit")
+    join = Decontaminator(docs, items, size)
+    bad = narrow(join.checked().filter("n_hit > 0").select("dk", "rk").distinct(), "hit")
+    discard(join.found)
     keyed = docs.withColumn("d_dk", F.coalesce("doc_id", F.lit(0))).withColumn("d_rk", F.xxhash64("doc_id", "text"))
     bad = maybe_broadcast(bad.select(F.col("dk").alias("d_dk"), F.col("rk").alias("d_rk")))
     return keyed.join(bad, ["d_dk", "d_rk"], "left_anti").drop("d_dk", "d_rk")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import _text as tx
-from verdigris.llm._work import bucket_count, maybe_broadcast, pick, written
+from verdigris.llm._work import bucket_count, discard, maybe_broadcast, narrow, pick, written
 
 FREQ_BITS, SLICES, RANGES = 24, 256, 64
 #: Rounds of trials at most, and the share of trials that must succeed for another one.
@@ -225,13 +225,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each step is a written table. A step joins every node's label to its neighbours and then takes the label's label, so
     the steps grow with the logarithm of a component's diameter.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), name)
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), name)
+    both = narrow(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), name)
+    label = narrow(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), name)
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
         hop = label.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
-        moved = written(step.join(hop, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("new"), "comp"), name)
+        moved = narrow(step.join(hop, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("new"), "comp"), name)
         changed = moved.filter("new <> comp").limit(1).count()
         label = moved.select("node", F.col("new").alias("comp"))
         if not changed:
@@ -245,6 +245,12 @@ class NgramJoin:
         self.n, self.percent, self.rounds = n, percent, rounds
         self.docs = pick(docs, "doc_id", "text")
         self.spark = docs.sparkSession
+        self.spent: list[DataFrame] = []
+
+    def _done(self) -> None:
+        """Whole sets are only kept until their round's links are written."""
+        discard(*self.spent)
+        self.spent = []
 
     def _prepare(self) -> None:
         scanned = written(self.docs.mapInArrow(_scan(self.n), _DOCS_SQL), "sets")
@@ -257,7 +263,7 @@ class NgramJoin:
             counters[s["part"]] = np.frombuffer(zlib.decompress(bytes(s["raw"])), np.uint8)
         self.frequency = self.spark.sparkContext.broadcast(counters.reshape(-1))
         classes = self.rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-        self.classes = written(classes, "classes")
+        self.classes = narrow(classes, "classes")
         if self.classes.filter("lo <> hi").limit(1).count():
             raise RuntimeError("two different shingle sets have one 64-bit fingerprint")
 
@@ -269,12 +275,14 @@ class NgramJoin:
     def _wanted(self, pairs: DataFrame) -> DataFrame:
         """node, doc_id of one document of each node of pairs."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return written(nodes.join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        return narrow(nodes.join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
 
     def _items(self, wanted: DataFrame) -> DataFrame:
         """node, items (the whole set) of the wanted (node, doc_id)."""
         found = self.docs.join(maybe_broadcast(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(self.n), "node long, items binary")
-        return written(found.join(maybe_broadcast(wanted.select("node")), "node", "left_semi"), "texts")
+        out = written(found.join(maybe_broadcast(wanted.select("node")), "node", "left_semi"), "texts")
+        self.spent.append(out)
+        return out
 
     def _proven(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, na, b, nb) that link."""
@@ -283,7 +291,7 @@ class NgramJoin:
             pairs.join(low.select(F.col("node").alias("a"), F.col("raw").alias("ra")), "a").join(low.select(F.col("node").alias("b"), F.col("raw").alias("rb")), "b")
             .mapInArrow(_suffix, "a long, na long, b long, nb long, most long").filter(f"100 * most >= {self.percent} * (na + nb - most)")
         )
-        left = written(bounded.select("a", "na", "b", "nb"), "bounded")
+        left = narrow(bounded.select("a", "na", "b", "nb"), "bounded")
         items = self._items(self._wanted(left))
         both = left.select("a", "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b")
         shared = both.mapInArrow(_verify, "a long, b long, shared long")
@@ -294,13 +302,13 @@ class NgramJoin:
         such shingles to any member of the host."""
         own = p.groupBy("token", "comp").agg(F.count("node").alias("held"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("room"))
         host = own.groupBy("token").agg(F.max(F.struct("held", "comp", "lo", "hi", "room")).alias("h")).filter(F.col("h.held") >= HOST)
-        flagged = written(p.join(host, "token", "left").withColumn("hosted", F.coalesce(F.col("comp") == F.col("h.comp"), F.lit(False))), "flagged")
+        flagged = narrow(p.join(host, "token", "left").withColumn("hosted", F.coalesce(F.col("comp") == F.col("h.comp"), F.lit(False))), "flagged")
         t = self.percent
         near = f"h is not null and not hosted and 100 * h.hi >= {t} * n and 100 * n >= {t} * h.lo and {100 + t} * least(n - place, h.room) >= {t} * (n + greatest(h.lo, {t} * n / 100))"
-        guests = written(flagged.filter(near).select(F.col("h.comp").alias("host"), "node").distinct(), "guests")
+        guests = narrow(flagged.filter(near).select(F.col("h.comp").alias("host"), "node").distinct(), "guests")
         members = label.join(guests.select(F.col("host").alias("comp")).distinct(), "comp").select(F.col("comp").alias("host"), "node")
         size = guests.groupBy("host").agg(F.ceil(F.count("node") / BLOCK).alias("gs")).join(members.groupBy("host").agg(F.ceil(F.count("node") / BLOCK).alias("ms")), "host")
-        nodes = written(guests.select("node").union(members.select("node")).distinct().join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
+        nodes = narrow(guests.select("node").union(members.select("node")).distinct().join(self.classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
         items = self._items(nodes)
         sides = []
         for side, rows, mine, other in ((0, members, "ms", "gs"), (1, guests, "gs", "ms")):
@@ -308,7 +316,7 @@ class NgramJoin:
             m, g = ("i", "j") if side == 0 else ("j", "i")
             sides.append(placed.select("host", F.col(m).alias("m"), F.col(g).alias("g"), F.lit(side).alias("side"), "node").join(items, "node"))
         block = sides[0].union(sides[1]).groupBy("host", "m", "g")
-        return flagged.drop("h"), block.applyInArrow(_linked(self.percent), "a long, b long")
+        return flagged, block.applyInArrow(_linked(self.percent), "a long, b long")
 
     def _fits(self) -> str:
         """Length and positional filters on a pair's first shared shingle."""
@@ -344,13 +352,13 @@ class NgramJoin:
     def _merge(self, label: DataFrame | None, found: DataFrame) -> DataFrame:
         """node, comp after the components at the ends of found links are joined."""
         if label is None:
-            return written(found.select(F.col("a").alias("node"), F.col("b").alias("comp")), "labels")
+            return narrow(found.select(F.col("a").alias("node"), F.col("b").alias("comp")), "labels")
         ends = found.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
         joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
         old = label.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
         fresh = joined.select(F.col("comp").alias("node"), F.col("now").alias("comp")).join(label, "node", "left_anti")
-        return written(old.union(fresh), "labels")
+        return narrow(old.union(fresh), "labels")
 
     def links(self) -> None:
         """Finds label (node, comp): nodes that links connect, directly or through others, have one comp."""
@@ -358,21 +366,25 @@ class NgramJoin:
         self._find_postings()
         label = self._merge(None, self.postings.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
         for k in range(self.rounds):
-            p = written(self._labelled(label), "labelled")
-            pairs = written(self._trials(p, k), "pairs")
-            found = written(self._proven(pairs), "links")
+            p = narrow(self._labelled(label), "labelled")
+            pairs = narrow(self._trials(p, k), "pairs")
+            found = narrow(self._proven(pairs), "links")
+            self._done()
             tried, linked = pairs.count(), found.count()
             if linked:
                 label = self._merge(label, found)
             if linked < WORTH * tried or not tried:
                 break
-        p = written(self._labelled(label), "labelled")
+        p = narrow(self._labelled(label), "labelled")
         flagged, found = self._hosted(p, label)
-        found = written(found, "links")
+        found = narrow(found, "links")
+        self._done()
         if found.limit(1).count():
             label = self._merge(label, found)
-        rest = flagged.filter("not hosted").drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        found = written(self._proven(written(self._all_pairs(rest), "pairs")), "links")
+        rest = flagged.filter("not hosted").drop("comp", "h").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        found = narrow(self._proven(narrow(self._all_pairs(rest), "pairs")), "links")
+        self._done()
+        discard(self.postings, p, flagged)
         if found.limit(1).count():
             label = self._merge(label, found)
         self.label = label
