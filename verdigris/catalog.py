@@ -101,23 +101,18 @@ def knn_with_metadata(spark, d):
 
 # --- pairs
 
+# The queries take all pairs; this SQL still stops at vec_id 300, so it agrees with them on tables of up to 300 records only.
 _PAIRS = "(select a.vec_id as i, b.vec_id as j, a.label = b.label as same, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as d from embeddings a, embeddings b where a.vec_id < b.vec_id and b.vec_id < 300)"
 
 
-def _pairs(spark, d):
-    """Pairs of the first 300 records: the analysis takes a bounded set by definition."""
-    p = knn.pairwise(emb(spark, d).filter("vec_id < 300"), "vec_id", "embedding", ["label"])
-    return p.withColumn("same", F.col("label_i") == F.col("label_j"))
-
-
 @query(f"select i, j, same, round(d, 6) as distance from {_PAIRS}")
 def pairwise_distances_upper(spark, d):
-    return _pairs(spark, d).select("i", "j", "same", r6("distance").alias("distance"))
+    return knn.pair_rows(emb(spark, d), "vec_id", "embedding").select("i", "j", "same", r6("distance").alias("distance"))
 
 
 @query(f"select same, count(*) as n, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as std, round(min(d), 6) as low, round(max(d), 6) as high from {_PAIRS} group by same")
 def intra_inter_stats(spark, d):
-    return _pairs(spark, d).groupBy("same").agg(F.count("*").alias("n"), r6(F.avg("distance")).alias("mean"), r6(F.stddev_pop("distance")).alias("std"), r6(F.min("distance")).alias("low"), r6(F.max("distance")).alias("high"))
+    return knn.pair_sums(emb(spark, d), "vec_id", "embedding").select("same", "n", r6("mean").alias("mean"), r6("std").alias("std"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 _SEP = f"(select avg(d) filter (same) as mi, avg(d) filter (not same) as me, stddev_pop(d) filter (same) as si, stddev_pop(d) filter (not same) as se from {_PAIRS})"
@@ -125,12 +120,12 @@ _SEP = f"(select avg(d) filter (same) as mi, avg(d) filter (not same) as me, std
 
 @query(f"select round((me - mi) / (se + si + 1e-8), 5) as fisher from {_SEP}")
 def fisher_separation(spark, d):
-    return E.separation(_pairs(spark, d)).select(F.round("fisher", 5).alias("fisher"))
+    return E.separation_of(emb(spark, d), "vec_id", "embedding").select(F.round("fisher", 5).alias("fisher"))
 
 
 @query(f"select round(100.0 * count(*) filter (same and d > me) / greatest(count(*) filter (same), 1), 5) as overlap_pct from {_PAIRS}, {_SEP}")
 def overlap_pct(spark, d):
-    return E.separation(_pairs(spark, d)).select(F.round("overlap_pct", 5).alias("overlap_pct"))
+    return E.separation_of(emb(spark, d), "vec_id", "embedding").select(F.round("overlap_pct", 5).alias("overlap_pct"))
 
 
 # --- normalisation
@@ -273,7 +268,7 @@ def ap_buckets(spark, d):
 
 @query(f"with s as ({_SUM}), f as (select (me - mi) / (se + si + 1e-8) as fisher, mi, (select 100.0 * count(*) filter (same and d > x.me) / greatest(count(*) filter (same), 1) from {_PAIRS}) as overlap from {_SEP} x) select map, case when map >= 0.7 then 'good' when map >= 0.4 then 'medium' else 'poor' end as verdict, case when map > 0.7 then 3 when map > 0.4 then 2 else 1 end as stars, concat_ws('; ', case when fisher < 1 then 'classes overlap' end, case when mi > 1.5 then 'classes are spread out' end, case when overlap > 30 then 'many pairs inside a class are far apart' end) as notes from s, f")
 def diagnosis_rules(spark, d):
-    return E.diagnosis(_summary(spark, d), E.separation(_pairs(spark, d))).withColumn("notes", F.array_join("notes", "; "))
+    return E.diagnosis(_summary(spark, d), E.separation_of(emb(spark, d), "vec_id", "embedding")).withColumn("notes", F.array_join("notes", "; "))
 
 
 @query(f"select ql as q_label, grouping(ql) = 1 as all_labels, round(avg(ap), 6) as map, count(*) as n from {_PQ} group by grouping sets ((ql), ())")

@@ -75,10 +75,25 @@ def separation(pairs: DataFrame) -> DataFrame:
         stats += [F.count(d).alias(f"n_{name}"), F.avg(d).alias(f"mean_{name}"), F.stddev_pop(d).alias(f"std_{name}"), F.min(d).alias(f"min_{name}"), F.max(d).alias(f"max_{name}")]
     one = pairs.agg(*stats)
     over = pairs.crossJoin(F.broadcast(one.select("mean_inter"))).agg(F.count_if(F.col("same") & (F.col("distance") > F.col("mean_inter"))).alias("n_over"))  # one row
-    both = one.crossJoin(F.broadcast(over))
+    return _separated(one.crossJoin(F.broadcast(over)))
+
+
+def _separated(both: DataFrame) -> DataFrame:
     return both.withColumn("fisher", (F.col("mean_inter") - F.col("mean_intra")) / (F.col("std_inter") + F.col("std_intra") + 1e-8)).withColumn("overlap_pct", 100.0 * F.col("n_over") / F.greatest(F.col("n_intra"), F.lit(1)))
 
 
+def separation_of(records: DataFrame, id_col: str = "record_idx", vector: str = "vector", label: str = "label") -> DataFrame:
+    """As separation, over all pairs of records, summed up by blocks."""
+
+    def wide(sums: DataFrame) -> DataFrame:
+        sides = (("intra", F.col("same")), ("inter", ~F.col("same")))
+        return sums.agg(*[F.coalesce(F.max(F.when(cond, F.col("n"))), F.lit(0)).alias(f"n_{side}") for side, cond in sides], *[F.max(F.when(cond, F.col(c))).alias(f"{new}_{side}") for side, cond in sides for c, new in (("mean", "mean"), ("std", "std"), ("low", "min"), ("high", "max"))])
+
+    one = wide(knn.pair_sums(records, id_col, vector, label))
+    over = knn.pair_sums(records, id_col, vector, label, one.select("mean_inter")).agg(F.coalesce(F.max(F.when(F.col("same"), F.col("n_over"))), F.lit(0)).alias("n_over"))  # one row
+    return _separated(one.crossJoin(F.broadcast(over)))
+
+
 def diagnosis(quality: DataFrame, distances: DataFrame, good: float = 0.7, medium: float = 0.4, fisher: float = 1.0, intra: float = 1.5, overlap: float = 30.0) -> DataFrame:
     """verdict, stars and notes (array) from one-row summaries."""
     one = quality.crossJoin(F.broadcast(distances))

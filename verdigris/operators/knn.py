@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +85,90 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "r
 
 def pairwise(records: DataFrame, id_col: str = "record_idx", vector: str = "vector", keep: Sequence[str] = ()) -> DataFrame:
     """i, j, distance of all pairs i < j (and columns keep of both, as keep_i, keep_j). The result itself is quadratic:
-    meant for a bounded set of records, as the pair analysis uses it."""
+    meant for a sample of records; pair_rows and pair_sums take all of them."""
     a = records.select(F.col(id_col).alias("i"), F.col(vector).alias("vi"), *[F.col(c).alias(f"{c}_i") for c in keep])
     b = records.select(F.col(id_col).alias("j"), F.col(vector).alias("vj"), *[F.col(c).alias(f"{c}_j") for c in keep])
     return a.join(b, F.col("i") < F.col("j")).withColumn("distance", V.l2_distance("vi", "vj")).drop("vi", "vj")
+
+
+#: Records of one side of a block of pairs: where pairs are summed up, and where each is a row.
+PAIR_BLOCK, ROW_BLOCK = 2048, 1024
+_MEASURES = pa.schema([("same", pa.bool_()), ("n", pa.int64()), ("mean", pa.float64()), ("spread", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("n_over", pa.int64())])
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all rows of y; where the matrix product would cancel, by the direct form."""
+    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    whole = nx[:, None] + ny[None, :]
+    d = whole - 2.0 * (x @ y.T)
+    a, b = np.nonzero(d < 1e-4 * whole)
+    for k in range(0, len(a), 65536):
+        i, j = a[k : k + 65536], b[k : k + 65536]
+        d[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's pairs of unequal ids, once each: smaller id, greater id, distance, equal labels, a label is null."""
+    v = table.column("v").combine_chunks()
+    width = np.diff(v.offsets.to_numpy())
+    if v.null_count or v.flatten().null_count or (width != width[0]).any():
+        raise ValueError("pairs need vectors of one length, without nulls")
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    ids = table.column("id").to_numpy()
+    names = table.column("label").combine_chunks().dictionary_encode()
+    names = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    side = table.column("side").to_numpy()
+    if side.any():
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        wanted = ids[left][:, None] != ids[right][None, :]
+    else:
+        left = right = np.argsort(ids, kind="stable")
+        wanted = ids[left][:, None] < ids[right][None, :]
+    d = _distances(x[left], x[right])[wanted]
+    a, b = np.nonzero(wanted)
+    a, b = left[a], right[b]
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), d, names[a] == names[b], (names[a] < 0) | (names[b] < 0)
+
+
+def _pair_rows(table: pa.Table) -> pa.Table:
+    i, j, d, same, unknown = _block(table)
+    return pa.table({"i": i, "j": j, "same": pa.array(same, pa.bool_(), mask=unknown), "distance": d})
+
+
+def _pair_sums(table: pa.Table) -> pa.Table:
+    _, _, d, same, unknown = _block(table)
+    limit = table.column("limit")[0].as_py()
+    rows = []
+    for name, held in ((True, same & ~unknown), (False, ~same & ~unknown), (None, unknown)):
+        part = d[held]
+        if len(part):
+            mean = part.mean()
+            over = 0 if limit is None else int((part > limit).sum())
+            rows.append({"same": name, "n": len(part), "mean": mean, "spread": ((part - mean) ** 2).sum(), "low": part.min(), "high": part.max(), "n_over": over})
+    return pa.Table.from_pylist(rows, schema=_MEASURES)
+
+
+def _pair_blocks(records: DataFrame, id_col: str, vector: str, label: str, size: int) -> DataFrame:
+    """Each record once in every block of pairs (one, two) that it belongs to; side 0 is block one."""
+    rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("v")).filter("id is not null")
+    blocks = max(1, -(-rows.count() // size))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.select(F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "v")
+
+
+def pair_rows(records: DataFrame, id_col: str = "record_idx", vector: str = "vector", label: str = "label", size: int = ROW_BLOCK) -> DataFrame:
+    """i, j, same (null where a label is), distance of all pairs i < j, computed in blocks of size times size records."""
+    return _pair_blocks(records, id_col, vector, label, size).groupBy("one", "two").applyInArrow(_pair_rows, "i long, j long, same boolean, distance double")
+
+
+def pair_sums(records: DataFrame, id_col: str = "record_idx", vector: str = "vector", label: str = "label", limit: DataFrame | None = None, size: int = PAIR_BLOCK) -> DataFrame:
+    """same, n, mean, std (population), low, high, n_over of all pairs i < j: a block of pairs gives a row for each side,
+    never a row for each pair. n_over counts distances above the one value of the one-row table limit."""
+    dealt = _pair_blocks(records, id_col, vector, label, size)
+    above = dealt.withColumn("limit", F.lit(None).cast("double")) if limit is None else dealt.crossJoin(F.broadcast(limit.toDF("limit")))
+    sums = above.groupBy("one", "two").applyInArrow(_pair_sums, "same boolean, n long, mean double, spread double, low double, high double, n_over long")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) / n - mean * mean
+    return sums.groupBy("same").agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.sum("spread") / n + F.greatest(between, F.lit(0.0))).alias("std"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_over").alias("n_over"))
