@@ -279,14 +279,22 @@ class NgramJoin:
 
     def _items(self, wanted: DataFrame) -> DataFrame:
         """node, items (the whole set) of the wanted (node, doc_id)."""
-        found = self.docs.join(maybe_broadcast(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(self.n), "node long, items binary")
-        out = written(found.join(maybe_broadcast(wanted.select("node")), "node", "left_semi"), "texts")
+
+        def sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+            return docs.mapInArrow(_sets(self.n), "node long, items binary").join(maybe_broadcast(nodes), "node", "left_semi")
+
+        found = sets(self.docs.join(maybe_broadcast(wanted.select("doc_id")), "doc_id", "left_semi"), wanted.select("node"))
+        nameless = wanted.filter("doc_id is null").select("node")
+        if nameless.limit(1).count():  # sets that only rows without an id hold
+            found = found.union(sets(self.docs.filter("doc_id is null"), nameless).dropDuplicates(["node"]))
+        out = written(found, "texts")
         self.spent.append(out)
         return out
 
     def _proven(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, na, b, nb) that link."""
-        low = self.ranges.join(maybe_broadcast(self._wanted(pairs)), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+        wanted = maybe_broadcast(self._wanted(pairs).toDF("w_node", "w_id"))
+        low = self.ranges.join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").dropDuplicates(["node"])
         bounded = (
             pairs.join(low.select(F.col("node").alias("a"), F.col("raw").alias("ra")), "a").join(low.select(F.col("node").alias("b"), F.col("raw").alias("rb")), "b")
             .mapInArrow(_suffix, "a long, na long, b long, nb long, most long").filter(f"100 * most >= {self.percent} * (na + nb - most)")
