@@ -24,3 +24,12 @@ def test_null_ids_link(spark):
     # copies that all lack an id
     pair = docs_df(spark, [(None, a), (None, changed(a, 50)), (9, b)])
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.members(pair, 4, 85).collect()} == {(None, None), (9, 9)}
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b, c, d = (text(s, 100) for s in (601, 602, 603, 604))
+    # (5, a) is a copy of 3 and goes; (5, b) stays; both texts of 7 stay, one of the copies without an id, both empty rows
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (None, changed(c, 50)), (None, text(605, 100)), (None, text(605, 100)), (None, ""), (8, None)]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs_df(spark, rows)).collect()]
+    want = [(3, a), (5, b), (7, c), (7, d), (None, text(605, 100)), (None, ""), (8, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -412,12 +412,37 @@ def members(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return NgramJoin(docs, n, percent).members()
 
 
+def _named(n: int):
+    def run(batches):
+        for table in tx.blocks(batches):
+            docs = table.num_rows
+            doc, g = shingle_sets(*tx.column_bytes(table.column("text")), n)
+            size, _, node, _ = _nodes(doc, g, docs)
+            yield pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), pa.array(node), pa.array(size)], ["row", "node", "n"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, one of each group of linked documents: the one with the smallest doc_id. All columns are kept;
-    of rows that repeat a kept doc_id one stays, and rows with a null doc_id stay."""
-    keep = members(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """Rows of docs, one of each group of linked rows: the one with the smallest doc_id (null last), then the smallest
+    node. All columns are kept; rows that repeat a doc_id or lack one are told apart by their sets, and rows without
+    words link with nothing and stay."""
+    join = NgramJoin(docs, n, percent)
+    join.links()
+    comp = join.classes.join(join.label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = comp.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("nameless"), "rep", "node")).alias("b"))
+    best = narrow(best.select(F.col("b.rep").alias("k_id"), F.col("b.node").alias("k_node")), "best")
+    repeated = narrow(join.rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "repeated")
+    keep = best.select(F.col("k_id").alias("doc_id")).union(join.rows.filter("n = 0").select("doc_id"))
+    out = docs.join(keep.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    if not repeated.limit(1).count():
+        return out
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    unsure = docs.filter("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi")).select(own, "text")
+    unsure = unsure.mapInArrow(_named(n), f"row {unsure.schema['row'].dataType.simpleString()}, node long, n long")
+    chosen = unsure.filter("n > 0").join(best, (F.col("node") == F.col("k_node")) & F.col("row.doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    one = chosen.groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(one.select("row").union(unsure.filter("n = 0").select("row")).select("row.*"))
 
 
 #: members(n=4, percent=85), for tables without null doc_ids.
