@@ -112,6 +112,6 @@ def report(quality: DataFrame, labels: DataFrame, buckets: DataFrame, distances:
     for side in ("intra", "inter"):
         lines.append(f"{side}: n {d[f'n_{side}']}, mean {show(d[f'mean_{side}'])}, std {show(d[f'std_{side}'])}, min {show(d[f'min_{side}'])}, max {show(d[f'max_{side}'])}")
     lines += [f"Fisher {show(d['fisher'])}, overlap {show(d['overlap_pct'], '{:.1f}')} %", ""]
-    lines += [f"{str(r['shown']):45s} {r['ap']:.4f} {r['bar']}" for r in labels.limit(1000).collect()]
+    lines += [f"{str(r['shown']):45s} {r['ap']:.4f} {r['bar']}" for r in labels.toLocalIterator()]
     lines += ["", f"AP below .2: {show(b['low'], '{:.1%}')}, below .5: {show(b['middle'], '{:.1%}')}, from .5: {show(b['high'], '{:.1%}')}", f"verdict: {g['verdict']}", *g["notes"]]
     return "\n".join(lines)
