@@ -158,6 +158,9 @@ def test_ordinals(spark):
     got = with_ordinal(df, "id", start=5).collect()
     assert all(r["record_idx"] == r["id"] + 5 for r in got)
     assert with_ordinal(df.limit(0), "id").count() == 0
+    wide = spark.range(200_000).repartition(13).withColumn("v", F.array_repeat(F.col("id").cast("double"), 64)).withColumn("half", F.col("id") % 2)
+    got = with_ordinal(wide, "half", "id", range_rows=20_000).select("id", "half", "record_idx").agg(F.count("record_idx").alias("n"), F.max(F.abs(F.col("record_idx") - F.expr("half * 100000 + id div 2"))).alias("off")).first()
+    assert (got["n"], got["off"]) == (200_000, 0)
 
 
 # --- evaluation
