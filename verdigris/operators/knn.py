@@ -1,18 +1,17 @@
-"""Exact k nearest neighbours: one query as a top-k scan, many as blocks of a matrix product with exact re-ranking."""
+"""Exact k nearest neighbours: one query as a top-k scan, many as pairs of blocks with exact re-ranking."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import vector as V
 
-#: Queries of one pass: their matrix is broadcast, so its size is bounded.
+#: Queries and records of one block.
 QUERY_BLOCK = 4096
 
 
@@ -33,25 +32,28 @@ def _best(d: np.ndarray, q: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     return by[np.arange(len(by)) - first < k]
 
 
-def _scan(block, k: int):
-    def run(frames):
-        ids, m = block.value
-        norm = (m * m).sum(axis=1)
-        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            rid = pdf["rid"].to_numpy(np.int64)
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            own = (x * x).sum(axis=1)
-            near = norm[:, None] + own[None, :] - 2.0 * (m @ x.T)
-            kth = np.partition(near, min(k, len(rid)) - 1, axis=1)[:, min(k, len(rid)) - 1]
-            qi, ri = np.nonzero(near <= (kth + 1e-9 * (norm + own.max()) + 1e-12)[:, None])  # what rounding may have moved stays in
-            d = np.concatenate([np.sqrt(((m[qi[i : i + 65536]] - x[ri[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(qi), 65536)])
-            qi, r, d = np.concatenate([held[0], qi]), np.concatenate([held[1], rid[ri]]), np.concatenate([held[2], d])
-            keep = _best(d, qi, r, k)
-            held = [qi[keep], r[keep], d[keep]]
-        yield pd.DataFrame({"qid": ids[held[0]], "rid": held[1], "distance": held[2]})
+def _nearest(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The k nearest records (side 1) of each query (side 0) of a block: candidates by a matrix product, ranked by the
+        direct distance; what rounding may have moved stays a candidate."""
+        v = table.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        asked, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        norm = (x * x).sum(axis=1)
+        for i in range(0, len(asked) if len(held) else 0, 512):
+            q = asked[i : i + 512]
+            near = norm[q][:, None] + norm[held][None, :] - 2.0 * (x[q] @ x[held].T)
+            last = min(k, len(held)) - 1
+            kth = np.partition(near, last, axis=1)[:, last]
+            a, b = np.nonzero(near <= (kth + 1e-9 * (norm[q] + norm[held].max()) + 1e-12)[:, None])
+            d = np.concatenate([np.sqrt(((x[q[a[j : j + 65536]]] - x[held[b[j : j + 65536]]]) ** 2).sum(axis=1)) for j in range(0, len(a), 65536)])
+            qid, rid = ids[q[a]], ids[held[b]]
+            keep = _best(d, qid, rid, k)
+            for c, y in zip(out, (qid[keep], rid[keep], d[keep]), strict=True):
+                c.append(y)
+        return pa.table({n: np.concatenate(c) for n, c in zip(("qid", "rid", "distance"), out, strict=True)})
 
     return run
 
@@ -59,26 +61,22 @@ def _scan(block, k: int):
 def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "record_idx", vector: str = "vector", query_id: str = "record_idx") -> DataFrame:
     """qid, rid, distance, rank (1..k) of the k records nearest to each query; ties by record id.
 
-    Each pass takes QUERY_BLOCK queries against all records: every partition keeps k candidates per query, found by a
-    matrix product and ranked by the direct distance, and the candidates meet in one window per query.
+    Queries and records are dealt to blocks of QUERY_BLOCK rows by a hash of their ids, and every pair of blocks is one
+    group on an executor that keeps k candidates per query; these meet in one window per query. Nothing is collected, and
+    the plan is the same for any number of queries.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    spark = records.sparkSession
-    left = records.select(F.col(id_col).cast("long").alias("rid"), V.floats(vector).alias("v"))
-    asked = queries.select(F.col(query_id).cast("long").alias("qid"), V.floats(vector).alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.collect()  # about QUERY_BLOCK queries
-        if not rows:
-            continue
-        block = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float32).astype(np.float64)))
-        found = left.mapInPandas(_scan(block, k), "qid long, rid long, distance double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "qid long, rid long, distance double, rank int")
+    left = records.select(F.col(id_col).cast("long").alias("id"), V.floats(vector).alias("v"))
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), V.floats(vector).alias("v"))
+    rows, cols = (-(-max(1, t.count()) // QUERY_BLOCK) for t in (asked, left))
+
+    def dealt(t: DataFrame, side: int, own: str, mine: int, other: str, others: int) -> DataFrame:
+        t = t.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+        return t.select("row", "col", F.lit(side).alias("side"), "id", "v")
+
+    both = dealt(asked, 0, "row", rows, "col", cols).union(dealt(left, 1, "col", cols, "row", rows))
+    out = both.groupBy("row", "col").applyInArrow(_nearest(k), "qid long, rid long, distance double")
     w = Window.partitionBy("qid").orderBy("distance", "rid")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

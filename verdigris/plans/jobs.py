@@ -71,17 +71,22 @@ def evaluate(store: VectorStore, k: int = 5, sample: int | None = None, distance
     named = store.records.withColumn("label", P.eval_label(F.col("image_path"), F.col("label")))
     n = named.count()
     ids = E.sample_ids(n, sample, seed)
-    asked = named if ids is None else named.filter(F.col("record_idx").isin(ids))
+    asked = named if ids is None else _only(named, ids)
     scored = E.per_query(E.hits(named, k, asked), named, k)
     if distances:
         some = E.sample_ids(n, pair_rows, 0)
-        pairs = knn.pairwise(named if some is None else named.filter(F.col("record_idx").isin(some)), keep=["label"])
+        pairs = knn.pairwise(named if some is None else _only(named, some), keep=["label"])
         pairs = pairs.withColumn("same", F.col("label_i").eqNullSafe(F.col("label_j")))
     else:
         pairs = named.sparkSession.createDataFrame([(True, 0.0), (False, 1.0)], "same boolean, distance double")
     return {"quality": E.summary(scored, len(ids) if ids else n), "labels": E.per_label(scored), "buckets": E.ap_buckets(scored), "queries": scored, "distances": E.separation(pairs)}
 
 
+def _only(records: DataFrame, ids: list[int]) -> DataFrame:
+    """The sampled records; the ids are a table, not a list in the plan."""
+    return records.join(records.sparkSession.createDataFrame([(i,) for i in ids], "record_idx long"), "record_idx", "left_semi")
+
+
 _CLEANED = "image_path string, is_valid boolean, reason string, issues array<string>, metadata map<string,string>, height int, width int, bgr binary, png binary, mask_png binary"
 
 
