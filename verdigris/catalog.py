@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import paths as P
 from verdigris.functions import vector as V
 from verdigris.operators import evaluate as E
-from verdigris.operators import knn, pixels
+from verdigris.operators import knn, pixels, pixels_sql
 from verdigris.operators.normalize import Normalizer, dimension_stats
 from verdigris.operators.ordinal import with_ordinal
 from verdigris.operators.store import VectorStore, modal_dimension
@@ -101,8 +101,7 @@ def knn_with_metadata(spark, d):
 
 # --- pairs
 
-# The queries take all pairs; this SQL still stops at vec_id 300, so it agrees with them on tables of up to 300 records only.
-_PAIRS = "(select a.vec_id as i, b.vec_id as j, a.label = b.label as same, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as d from embeddings a, embeddings b where a.vec_id < b.vec_id and b.vec_id < 300)"
+_PAIRS = "(select a.vec_id as i, b.vec_id as j, a.label = b.label as same, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as d from embeddings a, embeddings b where a.vec_id < b.vec_id)"
 
 
 @query(f"select i, j, same, round(d, 6) as distance from {_PAIRS}")
@@ -332,9 +331,9 @@ def _pixel_query(name: str):
     return run
 
 
-for _name, _sql in pixels.MEASURES.items():
+for _name in pixels.MEASURES:
     Q[_name] = _pixel_query(_name)
-    SQL[_name] = _sql.replace("{px}", f"({pixels.RASTER_SQL})")
+    SQL[_name] = pixels_sql.SQL[_name]
 
 
 # --- kernels over rasters (no SQL twin: tests hold them against closed forms and the measures above)
