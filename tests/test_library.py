@@ -222,7 +222,7 @@ def test_resolve_and_crawl(spark):
     assert {r["path"]: r["resolved"] for r in P.resolve(paths, files, ("/app", "/res")).collect()} == {"tree/a/x.png": "/res/a/x.jpeg", "/abs/y.png": "/abs/y.png", "gone.png": None}
     classes = class_table(spark, {"Acer": "acer tree", "Betula": "birch"})
     plan = append_plan(classes, spark.createDataFrame([("r/Acer/1.jpg",), ("r/Acer/2.txt",)], "path string"))
-    assert {r["class_dir"]: r["file_idx_offset"] for r in plan.collect()} == {"Acer": 1, "Betula": 0}
+    assert {r["class_dir"]: r["file_idx_offset"] for r in plan.collect()} == {"Acer": 2, "Betula": 0}
 
 
 # --- kernels
@@ -419,7 +419,7 @@ def test_registered_queries_match_sql(spark):
     from verdigris import catalog
 
     fix = lambda v: round(v, 6) if isinstance(v, float) else v
-    for name in ("knn_euclidean", "knn_cosine", "knn_batch_topk", "map_at_k", "diagnosis_rules", "transform_zscore", "label_from_path_eval", "px_glcm_stats", "px_otsu_threshold", "store_stats"):
+    for name in ("knn_euclidean", "knn_cosine", "knn_batch_topk", "map_at_k", "diagnosis_rules", "transform_zscore", "label_from_path_eval", "px_glcm_stats", "px_otsu_threshold", "store_stats", "connected_components", "stream_append", "null_label_roundtrip", "feature_groups_raster"):
         df = entry.queries()[name](spark, sf)
         cur = con.execute(catalog.SQL[name])
         cols = [c[0] for c in cur.description]

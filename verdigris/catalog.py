@@ -14,6 +14,8 @@ from verdigris.operators import knn, pixels, pixels_sql
 from verdigris.operators.normalize import Normalizer, dimension_stats
 from verdigris.operators.ordinal import with_ordinal
 from verdigris.operators.store import VectorStore, modal_dimension
+from verdigris.session import work_path
+from verdigris.sources.crawl import append_plan
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,9 +187,9 @@ def zscore_then_cosine_knn(spark, d):
 # --- store
 
 
-@query("select count(*) as n_records, count(distinct label) as n_labels, max(len(embedding)) as n_features, true as tree_built, 'euclidean' as distance_metric, string_agg(distinct label::VARCHAR, ',' order by label::VARCHAR) as labels from embeddings")
+@query("select count(*) as n_records, count(distinct label) as n_labels, max(len(embedding)) as n_features, true as tree_built, count(*) as n_tree_nodes, 'euclidean' as distance_metric, string_agg(distinct label::VARCHAR, ',' order by label::VARCHAR) as labels from embeddings")
 def store_stats(spark, d):
-    return records(spark, d).stats().select("n_records", "n_labels", "n_features", "tree_built", "distance_metric", F.array_join("labels", ",").alias("labels"))
+    return records(spark, d).stats().select("n_records", "n_labels", "n_features", "tree_built", "n_tree_nodes", "distance_metric", F.array_join("labels", ",").alias("labels"))
 
 
 @query("select label, count(*) as n from embeddings group by label")
@@ -203,9 +205,47 @@ def modal_dimension_filter(spark, d):
 
 @query("select vec_id, case when label % 3 = 0 then null else 'c' || label end as label from embeddings")
 def null_label_roundtrip(spark, d):
-    rows = emb(spark, d).select("vec_id", F.when(F.col("label") % 3 != 0, F.concat(F.lit("c"), "label")).alias("label"))
-    stored = rows.withColumn("label", F.coalesce("label", F.lit("")))
-    return stored.withColumn("label", F.nullif("label", F.lit("")))
+    rows = emb(spark, d).select("vec_id", F.col("vec_id").cast("string").alias("image_path"), F.when(F.col("label") % 3 != 0, F.concat(F.lit("c"), "label")).alias("label"), F.col("embedding").alias("vector"))
+    path = work_path(spark, "store")
+    VectorStore(spark).insert_batch(rows, "vec_id").build().save(path)
+    return VectorStore.load(spark, path).records.select(F.col("image_path").cast("long").alias("vec_id"), "label")
+
+
+@query(f"select row_number() over (order by d, vec_id) as rank, 'c' || label || '/v' || vec_id || '.png' as image_path, label::VARCHAR as label, round(d, 6) as distance from (select e.vec_id, e.label, {_D} as d from embeddings e, embeddings q where q.vec_id = 0 and e.vec_id <> 0) order by d, vec_id limit 5")
+def smoke_query(spark, d):
+    return records(spark, d).smoke(K).select((F.col("rank") - 1).alias("rank"), "image_path", "label", "distance")
+
+
+@query(f"select vec_id, l.pos, round((x - mean) / (std + 1e-8), 5) as value from {_LONG} l join {_STATS} s using (pos)")
+def normalizer_roundtrip(spark, d):
+    path, e = work_path(spark, "normalizer"), emb(spark, d)
+    Normalizer("zscore").fit(e, "embedding").save(spark, path)
+    return _long(e, Normalizer.load(spark, path).expression("embedding"))
+
+
+@query("select 'minmax' as method, 1e-8::DOUBLE as eps, true as is_fitted, max(len(embedding)) as n_features, count(*) as n_samples_fitted from embeddings")
+def normalizer_info(spark, d):
+    return Normalizer("minmax").fit(emb(spark, d), "embedding").info(spark)
+
+
+@query("select vec_id, case when label % 2 = 0 then null else 'c' || label end as label, row_number() over (order by vec_id % 2, vec_id) - 1 as record_idx from embeddings")
+def stream_append(spark, d):
+    from verdigris.streaming.append import append_stream, read_appended
+
+    source, target, checkpoint = (f"{work_path(spark, 'stream')}/{x}" for x in ("in", "out", "checkpoint"))
+    rows = emb(spark, d).select("vec_id", F.format_string("%012d", "vec_id").alias("image_path"), F.when(F.col("label") % 2 == 0, "").otherwise(F.concat(F.lit("c"), "label")).alias("label"), F.col("embedding").alias("vector"))
+    for part in (0, 1):  # two deliveries, two batches
+        rows.filter(F.col("vec_id") % 2 == part).drop("vec_id").write.mode("append").parquet(source)
+        append_stream(spark, source, target, checkpoint).awaitTermination()
+    return read_appended(spark, target).select(F.col("image_path").cast("long").alias("vec_id"), "label", "record_idx")
+
+
+@query("select vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) as norm, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) as dot, round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) as distance, round(embedding[1]::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8), 6) as unit_first from embeddings")
+def sql_functions(spark, d):
+    from verdigris.functions.sql import register
+
+    register(spark)
+    return spark.sql("select vec_id, round(l2_norm(v), 6) as norm, round(dot_product(v, reverse(v)), 6) as dot, round(l2_distance(v, reverse(v)), 6) as distance, round(l2_normalize(v)[0], 6) as unit_first from (select vec_id, cast(embedding as array<double>) as v from {e})", e=emb(spark, d))
 
 
 @query("select vec_id, row_number() over (order by part, vec_id) - 1 as record_idx from (select vec_id, case when vec_id % 2 = 1 then 0 else 1 end as part from embeddings)")
@@ -275,6 +315,11 @@ def map_and_label_grouping_sets(spark, d):
     return E.grouped(_per_query(spark, d)).withColumn("map", r6("map"))
 
 
+@query(f"select rl = ql as same, count(*) as n, round(avg(d), 6) as mean, round(stddev_pop(d), 6) as std, round(min(d), 6) as low, round(max(d), 6) as high from {_HITS} group by rl = ql")
+def hit_distances(spark, d):
+    return E.hit_distances(E.hits(emb(spark, d), K, None, "vec_id", "embedding")).select("same", "n", *[r6(c).alias(c) for c in ("mean", "std", "low", "high")])
+
+
 # --- paths
 
 _PATHS = "(select page_id, regexp_replace(url, '^https?://', '') || case page_id % 5 when 0 then '_tree_1 (8).png' when 1 then '.JPG' when 2 then '_2.webp' when 3 then '.jpeg' else '' end as path from pages union all select -1, 'tree/A b/x.png' union all select -2, 'res/A b_A b_tree_1 (8).png' union all select -3, 'x.png' union all select -4, 'batch/foo_1.jpg' union all select -5, 'tree/Acer_x_tree_2.png')"
@@ -315,9 +360,29 @@ def suffix_filter(spark, d):
     return _paths(spark, d).filter(P.has_suffix(F.col("path"))).select("page_id", P.suffix(F.col("path")).alias("suffix"))
 
 
-@query(f"select page_id, row_number() over (partition by {_PARENT} order by path, page_id) - 1 as idx from {_PATHS}")
+@query(f"with l as (select {_PARENT} as class_dir from {_PATHS}) select class_dir, class_dir || ' tree' as keyword, count(*) as file_idx_offset, 15 as max_num from l where class_dir <> '' group by class_dir union all select 'new class', 'new class tree', 0, 15")
 def append_crawl_offsets(spark, d):
-    return _paths(spark, d).select("page_id", P.parent(F.col("path")).alias("class_dir"), "path").withColumn("idx", F.row_number().over(Window.partitionBy("class_dir").orderBy("path", "page_id")) - 1).select("page_id", "idx")
+    listing = _paths(spark, d)
+    known = listing.select(P.parent(F.col("path")).alias("class_dir")).filter("class_dir <> ''").distinct()
+    classes = known.union(spark.createDataFrame([("new class",)], "class_dir string")).withColumn("keyword", F.concat("class_dir", F.lit(" tree")))
+    return append_plan(classes, listing)
+
+
+_EVAL = f"case when {_PARENT} not in ('', 'res', 'tree', 'batch') then {_PARENT} when contains({_STEM}, '_tree_') then trim(string_split(string_split({_STEM}, '_tree_')[1], '_')[1]) else 's' || page_id end"
+
+
+@query(f"select path, case when page_id % 3 = 0 then {_EVAL} else {_PARENT} end as label from {_PATHS}")
+def label_of_path(spark, d):
+    p = _paths(spark, d)
+    stored = p.filter("page_id % 3 = 0").select(F.col("page_id").alias("record_idx"), F.col("path").alias("image_path"), F.concat(F.lit("s"), "page_id").alias("label"))
+    return P.labels_of_paths(p, stored)
+
+
+@query(f"select page_id, row_number() over (order by string_split(path, '/'), page_id) as by_parts, row_number() over (order by path, page_id) as by_text from {_PATHS}")
+def sorted_paths(spark, d):
+    """Places of the two scans' orders; the numbers are ordinals over ranges, not one task's."""
+    p = with_ordinal(_paths(spark, d).withColumn("parts", P.sort_key(F.col("path"))), "parts", "page_id", name="by_parts", start=1)
+    return with_ordinal(p, "path", "page_id", name="by_text", start=1).select("page_id", "by_parts", "by_text")
 
 
 # --- pixels
@@ -336,7 +401,7 @@ for _name in pixels.MEASURES:
     SQL[_name] = pixels_sql.SQL[_name]
 
 
-# --- kernels over rasters (no SQL twin: tests hold them against closed forms and the measures above)
+# --- kernels over rasters (without SQL: tests hold them against closed forms)
 
 
 def _images(spark, d):
@@ -395,6 +460,22 @@ def _cleaned(rgb, mask):
     return [(r.is_valid, r.validation.reason, round(r.coverage, 4))]
 
 
+def _groups(rgb, mask):
+    """Features of two groups that don't change when every pixel becomes 8 x 8 pixels."""
+    from verdigris.kernels import features
+
+    found = {f"color_{k}": v for k, v in features.color(rgb, mask).items()} | {f"canopy_{k}": v for k, v in features.canopy(rgb, mask).items()}
+    return [(k, v) for k, v in sorted(found.items()) if k in pixels_sql.FEATURES]
+
+
+@query(pixels_sql.FEATURES_SQL)
+def feature_groups_raster(spark, d):
+    rows = _kernel(_groups, "img long, feature string, value double")(spark, d)
+    fine = [k for k, (measure, _) in pixels_sql.FEATURES.items() if measure != "px_hsv_stats"]
+    return rows.withColumn("value", F.when(F.col("feature").isin(fine), F.round("value", 6)).otherwise(F.round("value", 4)))
+
+
+SQL["connected_components"] = pixels_sql.COMPONENTS_SQL
 Q["extract_features_raster"] = _kernel(_all_features, "img long, feature string, value double")
 Q["dominant_colours"] = _kernel(_dominant, "img long, feature string, value double")
 Q["contour_shape"] = _kernel(_contour, "img long, n_contours long, area double, perimeter double, hull_area double")

@@ -29,6 +29,13 @@ def hits(records: DataFrame, k: int = 5, queries: DataFrame | None = None, id_co
     return near.join(names, "rid").join(own, "qid").select("qid", "q_label", "rid", "r_label", "distance", "rank")
 
 
+def hit_distances(found: DataFrame) -> DataFrame:
+    """same (the hit has its query's label), n, mean, std (population), low, high of the distances of all hits."""
+    same = F.col("r_label").eqNullSafe(F.col("q_label")).alias("same")
+    d = F.col("distance")
+    return found.groupBy(same).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.min(d).alias("low"), F.max(d).alias("high"))
+
+
 def per_query(found: DataFrame, records: DataFrame, k: int = 5, label: str = "label") -> DataFrame:
     """qid, q_label, ap, correct, p_at_1, p_at_k, recall_at_k of each query with a hit.
 

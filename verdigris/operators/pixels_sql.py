@@ -72,3 +72,18 @@ select img, case when k = 0 then 0 else list_min(c) end::INT as x, case when k =
     "px_validate_verdict": f"""with {_CELLS}, q as (select img, len(list_filter(generate_series(1, 64), lambda p: h[p] between 25 and 85 and s[p] >= 40 and v[p] >= 30)) / 64.0 < 0.04 as no_green, len(list_distinct(colour)) < 64 as few from im)
 select img, not (no_green and few) as is_valid, case when no_green and few then 'low green; few colours' when no_green then 'low green' when few then 'few colours' else 'OK' end as reason from q""",
 }
+
+#: Feature -> measure and column, for features that are the same on pixels and on blocks of equal pixels.
+FEATURES = {
+    **{f"color_{c}": ("px_hsv_stats", c) for c in ("h_mean", "h_std", "s_mean", "s_std", "v_mean", "v_std")}, "color_green_ratio": ("px_green_ratio", "green_ratio"),
+    "canopy_peak_row_norm": ("px_vertical_profile", "peak_row"), "canopy_top25_ratio": ("px_vertical_profile", "top25"), "canopy_bottom25_ratio": ("px_vertical_profile", "bottom25"),
+    "canopy_width_mean": ("px_horizontal_distribution", "width_mean"), "canopy_width_std": ("px_horizontal_distribution", "width_std"), "canopy_max_width_norm": ("px_horizontal_distribution", "width_max"),
+}
+FEATURES_SQL = " union all ".join(f"select img, '{name}' as feature, {column} as value from ({SQL[measure]})" for name, (measure, column) in FEATURES.items())
+
+#: Foreground components of neighbours on all eight sides: every cell's smallest reachable cell, by recursion.
+COMPONENTS_SQL = f"""with recursive {_CELLS}, on_ as (select img, unnest(ins) - 1 as p from us),
+near as (select a.img, a.p, b.p as q from on_ a join on_ b on a.img = b.img and abs(a.p // 8 - b.p // 8) <= 1 and abs(a.p % 8 - b.p % 8) <= 1),
+reach as (select img, p, p as q from on_ union select r.img, r.p, n.q from reach r join near n on n.img = r.img and n.p = r.q),
+root as (select img, p, min(q) as root from reach group by img, p), size as (select img, root, count(*) as n from root group by img, root)
+select us.img, count(size.n) as n_components, coalesce(64 * max(size.n), 0)::BIGINT as largest from us left join size on us.img = size.img group by us.img"""

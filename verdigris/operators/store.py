@@ -110,6 +110,13 @@ class VectorStore:
             raise ValueError(f"no record has path {path!r}")
         return self.query(list(own["vector"]), k + 1).filter(F.col("image_path") != path).orderBy("rank").limit(k)
 
+    def smoke(self, k: int = 5) -> DataFrame:
+        """The neighbours of the first record, as a check that a store answers."""
+        first = self.records.orderBy("record_idx").first()
+        if first is None:
+            raise RuntimeError("the store is empty")
+        return self.query_by_path(first["image_path"], k)
+
     def search_like_page(self, vector: Sequence[float], path: str, k: int = 6, shown: int = 5, same: float = 1e-6) -> DataFrame:
         """The k nearest without those at distance same or less or with path's file name, the first shown of them, ranked anew."""
         hits = self.query(vector, k).filter((F.col("distance") > same) & (P.file_name(F.col("image_path")) != path.rsplit("/", 1)[-1]))
@@ -120,9 +127,10 @@ class VectorStore:
         return knn.batch_top_k(self.records, self.records if queries is None else queries, k)
 
     def stats(self) -> DataFrame:
-        """n_records, n_features, tree_built, distance_metric, n_labels, labels (sorted; empty and null ones don't count)."""
+        """n_records, n_features, tree_built, n_tree_nodes (a node per record once built), distance_metric, n_labels, labels
+        (sorted; empty and null ones don't count)."""
         named = F.nullif("label", F.lit(""))
-        return self.records.agg(F.count("*").alias("n_records"), F.count_distinct(named).alias("n_labels"), F.array_sort(F.collect_set(named)).alias("labels")).withColumn("n_features", F.lit(self.n_features)).withColumn("tree_built", F.lit(self.built)).withColumn("distance_metric", F.lit(self.distance))
+        return self.records.agg(F.count("*").alias("n_records"), F.count_distinct(named).alias("n_labels"), F.array_sort(F.collect_set(named)).alias("labels")).withColumn("n_features", F.lit(self.n_features)).withColumn("tree_built", F.lit(self.built)).withColumn("n_tree_nodes", F.when(F.col("tree_built"), F.col("n_records")).otherwise(0)).withColumn("distance_metric", F.lit(self.distance))
 
     def save(self, path: str) -> bool:
         """Writes records and settings; an empty store writes nothing. Metadata is kept."""

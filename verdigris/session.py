@@ -23,3 +23,22 @@ def build_session(app: str = "verdigris", master: str | None = None, **more: str
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which a cluster's machines share; without it a folder of this machine, for
+    sessions of one machine only. What stands there goes when the session's JVM ends."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/verdigris-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only a path that exists can be marked
+    fs.deleteOnExit(at)
+    return path

@@ -17,7 +17,7 @@ def class_table(spark: SparkSession, keywords: dict[str, str], max_num: int = FI
 
 
 def append_plan(classes: DataFrame, listing: DataFrame, max_num: int = APPEND_CRAWL) -> DataFrame:
-    """class_dir, keyword, file_idx_offset (images already there), max_num: an appending crawl overwrites nothing.
+    """class_dir, keyword, file_idx_offset (files already there, of any kind), max_num: an appending crawl overwrites nothing.
     listing has column path."""
-    counted = listing.filter(P.suffix(F.col("path")).isin("jpg", "jpeg", "png")).groupBy(P.parent(F.col("path")).alias("class_dir")).agg(F.count("*").alias("file_idx_offset"))
+    counted = listing.groupBy(P.parent(F.col("path")).alias("class_dir")).agg(F.count("*").alias("file_idx_offset"))
     return classes.join(counted, "class_dir", "left").select("class_dir", "keyword", F.coalesce("file_idx_offset", F.lit(0)).alias("file_idx_offset"), F.lit(max_num).alias("max_num"))
