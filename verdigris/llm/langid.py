@@ -11,11 +11,13 @@ shuffled into sequences, so that switches occur in training. Prediction reads ev
 
 Defined results: null text and text without a letter give und and score 0; unlabelled rows teach nothing; without any
 labelled row every text is und; repeated rows get equal results; ties go to the smaller language name; an empty table
-gives no rows; other columns are kept by classify().
+gives no rows; very long texts are predicted whole, and texts above MAX_CHARS aren't learned from; other columns, whatever
+their names, are kept by classify() and recognised() and ignored by digest().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import _text as tx
+from verdigris.llm._work import pick
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -202,12 +205,21 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
+def _chosen(rows: DataFrame, max_docs: int) -> DataFrame:
+    """At most max_docs rows (lang, text) of each language, by a hash of the row. Rows whose hash is above twice the share
+    that is wanted go before anything is shuffled, so a language's ranking sees about 2 * max_docs rows at any size."""
+    count = rows.groupBy("lang").count()  # one row per language that is learned
+    share = F.least(F.lit(1.0), (2.0 * max_docs + 100) / F.col("count"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(count.select("lang", share.alias("share"))), "lang")
+    rows = rows.filter(F.col("h").cast("double") / float(1 << 64) + 0.5 <= F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("text", "lang")
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Learns from docs (doc_id, text, lang): at most max_docs texts of each language, of at most max_chars each."""
-    rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = rows.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("text", "lang").repartition(1)
-    got = sample.mapInArrow(_train_task, "langs array<string>, emit binary, move binary, lexicon binary").first()
+    rows = pick(docs, "doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    got = _chosen(rows, max_docs).repartition(1).mapInArrow(_train_task, "langs array<string>, emit binary, move binary, lexicon binary").first()
     if got is None:
         return train([])
     n = len(got["langs"])
@@ -228,49 +240,71 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128) | (data >= 128)
 
 
-def _predict(shared):
-    def run(batches):
-        model: Model = shared.value
-        names = [*model.langs, UND]
-        count = len(model.langs)
-        for table in tx.blocks(batches, "l_text", limit=4 << 20):
-            data, off = tx.column_bytes(table.column("l_text"))
-            ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
-            size = np.diff(first)
-            pick, score = np.full(len(size), count), np.zeros(len(size))
-            if len(ws) and count:
-                post = _forward_backward(_scores(model, data, ws, we, tx.word_hashes(data, ws, we, True)).astype(np.float64), size[size > 0], model.move)
-                lettered = np.add.reduceat(_letters(data).astype(np.int64), ws) > 0 if len(ws) else np.empty(0, bool)
-                doc = np.repeat(np.arange(len(size)), size)
-                n = np.bincount(doc, lettered, len(size))
-                sums = np.stack([np.bincount(doc, post[:, k] * lettered, len(size)) for k in range(count)], axis=1)
-                for i in np.flatnonzero(n):
-                    raw = data[off[i] : off[i + 1]]
-                    ascii_ = raw[raw < 128] | 32
-                    if ((ascii_ >= 97) & (ascii_ <= 122)).any() or any(c.isalpha() for c in raw.tobytes().decode("utf-8", "ignore")):
-                        pick[i] = int(sums[i].argmax())
-                        score[i] = min(1.0, sums[i].max() / n[i])
-            cols = [table.column(c).combine_chunks() for c in table.column_names if c != "l_text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([names[p] for p in pick], pa.string()), pa.array(score)], [*(c for c in table.column_names if c != "l_text"), "lang_pred", "score"])
-
-    return run
+@dataclass
+class Answer:
+    """For each text: place of its language in langs (len(langs): und), its mean probability, and the mean over words of the
+    probability of each word's own best language."""
+
+    pick: np.ndarray
+    score: np.ndarray
+    sure: np.ndarray
+
+
+def _answer(model: Model, data: np.ndarray, off: np.ndarray) -> Answer:
+    count = len(model.langs)
+    ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
+    size = np.diff(first)
+    out = Answer(np.full(len(size), count), np.zeros(len(size)), np.zeros(len(size)))
+    if not len(ws) or not count:
+        return out
+    post = _forward_backward(_scores(model, data, ws, we, tx.word_hashes(data, ws, we, True)).astype(np.float64), size[size > 0], model.move)
+    lettered = np.add.reduceat(_letters(data).astype(np.int64), ws) > 0
+    doc = np.repeat(np.arange(len(size)), size)
+    n = np.bincount(doc, lettered, len(size))
+    sums = np.stack([np.bincount(doc, post[:, k] * lettered, len(size)) for k in range(count)], axis=1)
+    best = np.bincount(doc, post.max(axis=1) * lettered, len(size))
+    for i in np.flatnonzero(n):
+        raw = data[off[i] : off[i + 1]]
+        ascii_ = raw[raw < 128] | 32
+        if ((ascii_ >= 97) & (ascii_ <= 122)).any() or any(c.isalpha() for c in raw.tobytes().decode("utf-8", "ignore")):
+            out.pick[i] = int(sums[i].argmax())
+            out.score[i] = min(1.0, sums[i].max() / n[i])
+            out.sure[i] = min(1.0, best[i] / n[i])
+    return out
+
+
+def predictor(docs: DataFrame, model: Model):
+    """A column function text -> struct (lang_pred, score, sure). Only the text goes to Python, in blocks of bytes; the rest
+    of a row stays in the JVM."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = pa.array([*shared.value.langs, UND])
+        for column in columns:
+            parts = []
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            for table in tx.blocks(iter([batch]), limit=4 << 20):
+                x = _answer(shared.value, *tx.column_bytes(table.column("text")))
+                parts.append((x.pick, x.score, x.sure))
+            pick_, score, sure = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0), np.empty(0))
+            yield pa.StructArray.from_arrays([names.take(pa.array(pick_)), pa.array(score), pa.array(sure)], ["lang_pred", "score", "sure"])
+
+    return F.arrow_udf(run, "struct<lang_pred: string, score: double, sure: double>").asNondeterministic()  # evaluated once
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; all columns are kept (as a struct, so no name can clash)."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("l_text"))
-    schema = f"row {row.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return row.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    """row (all columns of docs as a struct, so no name can clash), lang_pred, score and sure."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), predictor(docs, model)("text").alias("p")).select("row", "p.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    model = fit(docs)
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    narrow = rows.select("doc_id", "held_out", F.col("text").alias("l_text"))
-    return narrow.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), predictor(docs, fit(docs))("text").alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def recognised(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs whose language is recognised with that score at least, all columns kept."""
-    return classify(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs with a letter whose words are told to be of some learned language with that mean probability at least, all
+    columns kept. The words of a code-switched text may be of several languages."""
+    return classify(docs, fit(docs)).filter((F.col("lang_pred") != UND) & (F.col("sure") >= least)).select("row.*")
