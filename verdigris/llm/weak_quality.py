@@ -6,7 +6,7 @@ Votes are DataFrame expressions (0 bad, 1 good, 2 no vote). All documents are co
 sample (MAX_TRAIN texts chosen by a hash of the id, each of at most MAX_CHARS characters) and scores every whole text.
 
 Defined results: null or wordless text scores 0 and is not kept; repeated rows get equal results; an empty table
-gives no rows; when all posteriors are alike the scorer has no weights and returns them; other columns are ignored.
+gives no rows; very long texts are scored whole but not learned from; when all posteriors are alike the scorer has no weights and returns them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +188,9 @@ def classify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     known = spark.createDataFrame([(p, model.posterior(p)) for p in sorted(counts)], "pattern string, posterior double")
     label = cast.dropDuplicates(["dk", "rk"]).join(F.broadcast(known), "pattern").select("dk", "rk", "pattern", "posterior")
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("doc_id", "text").alias("rk"), "text")
-    chosen = keyed.filter(F.length("text") <= MAX_CHARS).orderBy("rk", "dk").limit(max_train).join(label, ["dk", "rk"]).select("text", "posterior").repartition(1)
+    share = min(1.0, (3.0 * max_train + 100) / max(1, sum(counts.values())))  # the others' texts are never shuffled
+    some = keyed.filter((F.length("text") <= MAX_CHARS) & (F.col("rk").cast("double") / float(1 << 64) + 0.5 <= share))
+    chosen = some.orderBy("rk", "dk").limit(max_train).join(label, ["dk", "rk"]).select("text", "posterior").repartition(1)
     got = chosen.mapInArrow(_fit_task, "w binary").first()
     w = np.frombuffer(bytes(got["w"])) if got else fit_scorer([], np.empty(0))
     scored = keyed.mapInArrow(_score(spark.sparkContext.broadcast(w)), "doc_id long, dk long, rk long, score double")
