@@ -45,7 +45,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.by_line(_table(spark, sf_dir, "documents"), tokenizer_file())
+    return token_counts.by_field(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ Rules: "majority" gives a token to the section that holds most of its characters
 section of its first character, "last" to that of its last. A token outside all sections is counted as unassigned. The
 interval join is a binary search of sorted, disjoint section ends, not a comparison of all pairs.
 
-Words between ASCII white space are encoded once in each worker and their token offsets moved to each place; the
-tokenizer drops white space, so these are the offsets of the whole text (tests hold the two against each other).
+Where the tokenizer's pre-tokenizer drops white space and never joins across it (token_files.Rules asks it), the words between
+ASCII white space of a block of texts are encoded once in each worker and their token offsets moved to each place: these are
+the offsets of the whole text. With any other tokenizer each text is encoded as a whole.
 
-Defined results: null text has no tokens and one empty section; empty lines are sections of 0 tokens; repeated rows get
-equal results; an empty table gives no rows; other columns are ignored.
+Defined results: null text has no tokens and one empty section; empty lines are sections of 0 tokens; a token that crosses
+a boundary goes by the rule, ties of the majority to the earlier section; repeated rows get equal results; very long texts
+are whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from verdigris.llm import _text as tx
-from verdigris.llm.token_files import CACHE_WORDS, IdTable, spread
+from verdigris.llm._work import pick
+from verdigris.llm.token_files import CACHE_WORDS, IdTable, Rules, spread
 
 RULES = ("majority", "first", "last")
+#: Code points of a field.
+FIELD = 1000
 
 
 def allocate(start: np.ndarray, end: np.ndarray, s: np.ndarray, e: np.ndarray, rule: str = "majority") -> np.ndarray:
@@ -63,6 +68,15 @@ class Offsets:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(tokenizer_file), IdTable("<u8")
+        self.by_word = Rules(self.tokenizer).by_word
+
+    def whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends (code points within the text) of the tokens of all texts, each encoded as a whole, and their number."""
+        raw, each = data.tobytes(), []
+        for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            each.append(np.array(self.tokenizer.encode(raw[i:j].decode("utf-8", "replace"), add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2))
+        flat = np.concatenate([np.empty((0, 2), np.int64), *each])
+        return flat[:, 0], flat[:, 1], np.array([len(x) for x in each], dtype=np.int64)
 
     def __call__(self, data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the tokens of all words, and the number of tokens of each word."""
@@ -95,38 +109,61 @@ def offsets_of(tokenizer_file: str) -> Offsets:
 
 def _spans(data: np.ndarray, off: np.ndarray, offsets: Offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token starts and ends (code points of the block), each token's document, and code points before each byte."""
-    ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    if not offsets.by_word:
+        a, b, k = offsets.whole(data, off)
+        place = np.repeat(chars[off[:-1]], k)
+        return a + place, b + place, np.repeat(np.arange(len(off) - 1), k), chars
+    ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
     a, b, k = offsets(data, ws, we)
     place = np.repeat(chars[ws], k)
     doc = np.repeat(np.repeat(np.arange(len(off) - 1), np.diff(first)), k)
     return a + place, b + place, doc, chars
 
 
-def by_line(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> DataFrame:
-    """doc_id, n_tokens, n_sections, section_tokens (array<long>), unassigned: tokens of each line of each text."""
+_COUNTS = "doc_id long, n_tokens long, n_sections long, section_tokens array<long>, unassigned long"
+
+
+def _lines(data: np.ndarray, off: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (code points of the block) of all lines, and the lines of each text."""
+    line, docs = np.flatnonzero(data == 10), len(off) - 1
+    # a section starts at each document and after each line end; ends likewise
+    s, e = np.concatenate([off[:-1], line + 1]), np.concatenate([line, off[1:]])
+    inside = np.searchsorted(off, line, side="right") - 1
+    owner, ender = np.concatenate([np.arange(docs), inside]), np.concatenate([inside, np.arange(docs)])
+    return chars[s[np.lexsort((s, owner))]], chars[e[np.lexsort((e, ender))]], np.bincount(owner, minlength=docs)
+
+
+def _fields(data: np.ndarray, off: np.ndarray, chars: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _lines, for fields of size code points; an empty text is one empty field."""
+    held = np.diff(chars[off])
+    count = np.maximum(1, -(-held // size))
+    base = np.repeat(chars[off[:-1]], count)
+    s = base + size * (np.arange(len(base)) - np.repeat(np.cumsum(count) - count, count))
+    return s, np.minimum(s + size, np.repeat(chars[off[1:]], count)), count
 
+
+def _attributed(docs: DataFrame, tokenizer_file: str, rule: str, sections) -> DataFrame:
     def run(batches):
         offsets = offsets_of(tokenizer_file)
         for table in tx.blocks(batches, limit=2 << 20):
             data, off = tx.column_bytes(table.column("text"))
-            docs_ = table.num_rows
             a, b, doc, chars = _spans(data, off, offsets)
-            line = np.flatnonzero(data == 10)
-            # a section starts at each document and after each line end; ends likewise
-            s = np.concatenate([off[:-1], line + 1])
-            e = np.concatenate([line, off[1:]])
-            owner = np.concatenate([np.arange(docs_), np.searchsorted(off, line, side="right") - 1])
-            by = np.lexsort((s, owner))
-            s, owner = s[by], owner[by]
-            ender = np.concatenate([np.searchsorted(off, line, side="right") - 1, np.arange(docs_)])
-            e = e[np.lexsort((e, ender))]
-            section = allocate(a, b, chars[s], chars[e], rule)
-            count = np.bincount(section[section >= 0], minlength=len(s))
-            lines = np.bincount(owner, minlength=docs_)
-            yield _rows(table, doc, section, count, lines, docs_)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_sections long, section_tokens array<long>, unassigned long")
+            s, e, count = sections(data, off, chars)
+            section = allocate(a, b, s, e, rule)
+            yield _rows(table, doc, section, np.bincount(section[section >= 0], minlength=len(s)), count, table.num_rows)
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, _COUNTS)
+
+
+def by_line(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> DataFrame:
+    """doc_id, n_tokens, n_sections, section_tokens (array<long>), unassigned: tokens of each line of each text."""
+    return _attributed(docs, tokenizer_file, rule, _lines)
+
+
+def by_field(docs: DataFrame, tokenizer_file: str, size: int = FIELD, rule: str = "majority") -> DataFrame:
+    """As by_line, for fields of size code points, whose boundaries cut tokens."""
+    return _attributed(docs, tokenizer_file, rule, lambda data, off, chars: _fields(data, off, chars, size))
 
 
 def by_span(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> DataFrame:
@@ -147,7 +184,7 @@ def by_span(docs: DataFrame, tokenizer_file: str, rule: str = "majority") -> Dat
             section = allocate(a, b, s, e, rule)
             yield _rows(table, doc, section, np.bincount(section[section >= 0], minlength=len(s)), lines, table.num_rows)
 
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_tokens long, n_sections long, section_tokens array<long>, unassigned long")
+    return pick(docs, "doc_id", "text", "spans").mapInArrow(run, _COUNTS)
 
 
 def _rows(table: pa.Table, doc: np.ndarray, section: np.ndarray, count: np.ndarray, lines: np.ndarray, docs: int) -> pa.RecordBatch:

@@ -5,11 +5,13 @@ PACK_IDS ids: shard (range of doc_id), pack, first_id (ids of the shard before t
 (packed little-endian longs), and ids (see simple8b). Packs hold whole documents. Shards are ranges of (doc_id, text), so
 ids before a document are the sums of earlier shards, of its shard's earlier packs and of its pack.
 
-Words between ASCII white space are encoded once in each worker and remembered: the tokenizer drops white space and never
-joins across it, so the ids are those of the whole text (tests hold the two against each other).
+Words between ASCII white space are encoded once in each worker and remembered where the tokenizer's own pre-tokenizer drops
+white space and never joins across it (Rules asks it), so the ids are those of the whole text; with any other tokenizer each
+text is encoded as a whole.
 
 Defined results: null text is empty (only the end id); a null doc_id comes first; rows that repeat a doc_id are each
-written, in order of their texts' hashes; an empty table gives no rows; other columns are ignored.
+written, in order of their texts' hashes (ties are equal texts); very long texts are encoded whole and may fill a pack alone;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import _text as tx
 from verdigris.llm import simple8b
-from verdigris.llm._work import pick, shared_dir
+from verdigris.llm._work import input_bytes, owned_path, pick
 
 PACK_IDS = 1 << 18
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
+#: Bytes of text in one shard.
+SHARD_BYTES = 16 << 20
 END_ID = 1
 _PACKS = pa.schema([("shard", pa.int64()), ("pack", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("doc_sizes", pa.binary()), ("ids", pa.binary())])
 _SCHEMA = "shard long, pack long, first_id long, n_ids long, doc_ids binary, null_ids binary, doc_sizes binary, ids binary"
@@ -85,12 +89,33 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
+class Rules:
+    """What a tokenizer's normalizer and pre-tokenizer let an encoder assume; pieces are encoded independently of each other."""
+
+    def __init__(self, tokenizer):
+        self.normalizer, self.splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
+        kinds = ["ab", "Q", "7", ".", "'s", "é", "中", "<|", "\u0301a"]
+        apart = [(a, gap, b) for a in kinds for b in kinds for gap in (" ", "\n", "\t", "\r\n", "  \x0b\x0c ")]
+        #: words between ASCII white space can be encoded by themselves
+        self.by_word = self.splitter is not None and all(self.pieces(a + gap + b) == self.pieces(a) + self.pieces(b) for a, gap, b in apart)
+        letters = "".join(map(chr, range(97, 123)))
+        #: words of letters can be known by their folded stem and closing punctuation
+        self.by_stem = self.by_word and self.pieces(letters.upper()) == self.pieces(letters) and self.one_piece(letters) and all(self.pieces("ab" + t) == self.pieces("ab") + self.pieces(t) for t in (".", ",", "!", "?", ";", ":", "?!", "..."))
+
+    def pieces(self, text: str) -> list[str]:
+        text = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [p for p, _ in self.splitter.pre_tokenize_str(text)] if self.splitter else [text]
+
+    def one_piece(self, text: str) -> bool:
+        return len(self.pieces(text)) == 1
+
+
 class WordEncoder:
-    """Whole texts -> ids. A word is known by the 64-bit hash of its bytes and encoded once.
+    """Whole texts -> ids. Where the tokenizer's rules allow, a word is known by the 64-bit hash of its bytes and encoded once.
 
     Words of letters, with closing punctuation or not, go through their stem: letters and punctuation are different
-    pre-tokens, folding ASCII letters leaves the ids as they are, and stems of letters are one pre-token each, so many of
-    them are encoded as one text and told apart again. All other words are encoded by themselves.
+    pre-tokens, folding ASCII letters leaves the ids as they are, and stems that are one pre-token each are encoded as one
+    text and told apart again. All other words are encoded by themselves.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -98,6 +123,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.rules = Rules(self.tokenizer)
         self.words, self.stems, self.tails = IdTable(), IdTable(), {b"": np.empty(0, "<u4")}
 
     def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -111,8 +137,10 @@ class WordEncoder:
             n = min(4000, len(keys) - k)
             word = np.array(got.word_ids, dtype=np.int64)
             count = np.bincount(word, minlength=n)
-            if len(count) != n or not count.all():
-                raise ValueError("the tokenizer splits a word of letters")
+            if len(count) != n or not count.all():  # not told apart: each by itself
+                each = self._alone([raw[i:j] for i, j in zip(s[k : k + n].tolist(), e[k : k + n].tolist(), strict=True)])
+                self.stems.add(keys[k : k + n], np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64))
+                continue
             self.stems.add(keys[k : k + n], np.array(got.ids, dtype="<u4"), count)
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray) -> None:
@@ -127,7 +155,9 @@ class WordEncoder:
         plain = (stop > s) & (hard[stop] - hard[s] == stop - s)
         for i in np.flatnonzero((stop > s) & ~plain & (soft[stop] - soft[s] == stop - s)).tolist():
             text = raw[s[i] : stop[i]].decode("utf-8", "replace")
-            plain[i] = text.isalpha() and text.lower().isalpha()
+            plain[i] = text.isalpha() and self.rules.one_piece(text)
+        if not self.rules.by_stem:
+            plain[:] = False
         own = np.flatnonzero(plain)
         if len(own):
             stem = tx.word_hashes(data, s[own], stop[own], True)
@@ -152,6 +182,10 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes data, offsets off) and the number of ids of each text."""
+        if not self.rules.by_word:
+            raw = data.tobytes()
+            each = self._alone([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            return np.concatenate([np.empty(0, "<u4"), *each]), np.array([len(x) for x in each], dtype=np.int64)
         ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
         keys, one, back = np.unique(tx.word_hashes(data, ws, we, False), return_index=True, return_inverse=True)
         for table in (self.words, self.stems):
@@ -211,12 +245,12 @@ def _write(tokenizer_file: str, end_id: int) -> Callable:
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, shards: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, shards: int | None = None, mode: str = "errorifexists") -> None:
     """Writes the file set of docs (doc_id, text) to path."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or input_bytes(docs) // SHARD_BYTES + 1
     keyed = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
     dealt = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(_write(tokenizer_file, end_id), _SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(_write(tokenizer_file, end_id), _SCHEMA).write.mode(mode).option("compression", "none").parquet(path)
 
 
 def _read(batches):
@@ -263,9 +297,7 @@ def _placed(spark: SparkSession, path: str, run: Callable, schema: str) -> DataF
 
 def encode_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """Writes docs to a new file set in the shared folder and returns the digests read back from it."""
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/verdigris-ids-{uuid.uuid4().hex}"
-    write_ids(docs, path, tokenizer_file, end_id)
+    path = owned_path(spark, "ids")
+    write_ids(docs, path, tokenizer_file, end_id, mode="append")  # the path is new and empty
     return read_digests(spark, path)
