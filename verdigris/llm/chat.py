@@ -1,5 +1,5 @@
-r"""Chat formatting: a finite-state machine over roles checks the turn order, and a declarative template gives each turn's
-text, its control strings and the span under the loss mask.
+r"""Chat formatting: a finite-state machine over roles checks the turn order, and a declarative template turns each turn into
+text segments (control strings and role, escaped text, control strings), each with its loss flag.
 
 Inside texts, control strings are escaped reversibly: every <, backslashes, | gets one more backslash, so no text can hold
 the <| that opens a control string. Roles also escape backslashes and line ends, because a line end closes a role.
@@ -7,7 +7,7 @@ the <| that opens a control string. Roles also escape backslashes and line ends,
 Turns are dealt by conversation and sorted by turn; both the formatter and the reader pass over the sorted rows one by one
 and keep the state of one conversation only, however long it is. Output rows are turns, written as a table and read back.
 
-Defined results: null text is empty; a null role is an empty one; null turns come first, equal turns go by role and text,
+Defined results: null text is empty (an empty segment); very long turns are whole; a null role is an empty one; null turns come first, equal turns go by role and text,
 repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives no rows; an order that
 the machine rejects is still formatted, marked from the first wrong turn on; other columns are ignored.
 """
@@ -18,6 +18,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ class Template:
 
 
 CHATML = Template()
-_FORMATTED = "conv_id long, seq long, formatted string, loss_start long, loss_end long, state string, valid boolean"
+_FORMATTED = "conv_id long, seq long, segments array<struct<text: string, loss: boolean>>, state string, valid boolean"
+_SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
@@ -63,82 +65,71 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def _same(a, b) -> bool:
-    return a == b or (a is None or a != a) and (b is None or b != b)
-
-
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *by)
 
 
 def segments(turns: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per turn: seq, formatted (control strings and escaped text), the loss span in it (code points, empty: none),
-    the machine's state after it ('error' once an order is wrong) and whether the order is right so far."""
+    """One row per turn: seq, segments (text, loss), the machine's state after it ('error' once an order is wrong) and whether
+    the order is right so far."""
 
-    import pandas as pd  # only where conversations are formatted
-
-    def run(frames):
+    def run(batches):
         conv, state, seq = object(), template.start, 0
-        for pdf in frames:
-            rows = []
-            for c, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
-                if not _same(c, conv):
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
+                if c != conv:
                     conv, state, seq = c, template.start, 0
-                role, text = (x if isinstance(x, str) else "" for x in (role, text))
+                role, text = role or "", text or ""
                 state = template.moves.get(state, {}).get(role, "error")
-                head = template.before + escape_role(role) + template.after_role
-                body = escape(text)
-                lost = (len(head), len(head) + len(body)) if role in template.loss_roles else (0, 0)
-                rows.append((c, seq, head + body + template.after, *lost, state, state != "error"))
+                parts = [(template.before + escape_role(role) + template.after_role, False), (escape(text), role in template.loss_roles), (template.after, False)]
+                for column, x in zip(rows, (c, seq, [{"text": t, "loss": f} for t, f in parts], state, state != "error"), strict=True):
+                    column.append(x)
                 seq += 1
-            out = pd.DataFrame(rows, columns=["conv_id", "seq", "formatted", "loss_start", "loss_end", "state", "valid"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), _SEGMENTS, pa.string(), pa.bool_()), strict=True)], ["conv_id", "seq", "segments", "state", "valid"])
 
     dealt = _ordered(pick(turns, "conv_id", "turn", "role", "text"), "turn", "role", "text")
-    return dealt.withColumn("conv_id", F.col("conv_id").cast("long")).mapInPandas(run, _FORMATTED)
+    return dealt.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text").mapInArrow(run, _FORMATTED)
 
 
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     """Digests of each conversation, parsed from segments' output alone."""
     head, tail = template.before, template.after
+    names = [c.split()[0] for c in _DIGEST.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in _DIGEST.split(", ")]
 
-    def run(frames):
+    def digests(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    def run(batches):
         conv, now = object(), None
 
         def done():
             return (conv, now["n"], now["turns"].hexdigest(), now["loss"], now["masked"].hexdigest(), now["chars"], now["state"] in template.ends)
 
-        for pdf in frames:
+        for batch in batches:
             rows = []
-            for c, text, i, j, state in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_start"], pdf["loss_end"], pdf["state"], strict=True):
-                if not _same(c, conv):
+            for c, parts, state in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "segments", "state")), strict=True):
+                if c != conv:
                     if now:
                         rows.append(done())
                     conv, now = c, {"n": 0, "turns": hashlib.sha256(), "loss": 0, "masked": hashlib.sha256(), "chars": 0, "state": ""}
+                text = "".join(p["text"] for p in parts)
                 if not (text.startswith(head) and text.endswith(tail)):
                     raise ValueError("not a turn of this template")
                 role, _, body = text[len(head) : len(text) - len(tail)].partition(template.after_role)
                 now["turns"].update((unescape_role(role) + "\n" + unescape(body) + "\n").encode())
-                masked = unescape(text[int(i) : int(j)])
+                masked = unescape("".join(p["text"] for p in parts if p["loss"]))
                 now["masked"].update(masked.encode())
                 now["loss"] += len(masked)
                 now["n"] += 1
                 now["chars"] += len(text)
                 now["state"] = state
-            yield _digests(rows)
+            yield digests(rows)
         if now:
-            yield _digests([done()])
-
-    return _ordered(formatted, "seq").mapInPandas(run, _DIGEST)
-
-
-def _digests(rows: list[tuple]):
-    import pandas as pd
+            yield digests([done()])
 
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGEST.split(", ")])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+    return _ordered(formatted, "seq").mapInArrow(run, _DIGEST)
 
 
 def digest(conversations: DataFrame) -> DataFrame:
