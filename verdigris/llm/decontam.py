@@ -9,7 +9,9 @@ after the document are out (length and positional bounds), and the rest are comp
 Only the item side is ever broadcast, and only below a checked number of rows; beyond it the joins shuffle by shingle.
 
 Defined results: null text has no words; null or wordless items have no window; items with equal windows all count;
-repeated documents or items give repeated or equal results; an empty side gives rows without hits; other columns are ignored.
+repeated documents or items give repeated or equal results; very long texts are whole; windows whose shingles are equally
+rare take the one with the smallest hash; an empty side gives rows without hits; other columns, whatever their names, are
+ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -61,16 +63,17 @@ class Decontaminator:
         for k in lengths or [self.shingle]:
             own = self.wins.filter(F.least(F.size("ww"), F.lit(self.shingle)) == k)
             parts.append(own.select("win", "ww", F.lit(k).alias("k"), F.posexplode(_shingles(F.col("ww"), k)).alias("off", "h")))
-        shingles = narrow(_union(parts), "shingles")
+        shingles = narrow(_union(parts), "shingles", self.size * self.wins.count())
+        most = shingles.count()
         for k in lengths or [self.shingle]:
-            wanted = narrow(shingles.filter(F.col("k") == k).select("h").distinct(), "wanted")
+            wanted = narrow(shingles.filter(F.col("k") == k).select("h").distinct(), "wanted", most)
             rows = base.select("dk", "rk", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h"))
             found.append(rows.join(maybe_broadcast(wanted), "h").select("dk", "rk", "pos", F.lit(k).alias("k"), "h"))
         self.found = found = written(_union(found), "found")
         rarity = found.groupBy("k", "h").count()
         rarest = shingles.join(rarity, ["k", "h"], "left").groupBy("win", "ww", "k").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "off")).alias("x"))
-        prefix = narrow(rarest.filter("x.c > 0").select("win", "ww", "k", F.col("x.h").alias("h"), F.col("x.off").alias("off")), "prefix")
-        at = found.join(maybe_broadcast(prefix, 100_000), ["k", "h"]).withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
+        prefix = narrow(rarest.filter("x.c > 0").select("win", "ww", "k", F.col("x.h").alias("h"), F.col("x.off").alias("off")), "prefix", most)
+        at = found.join(maybe_broadcast(prefix), ["k", "h"]).withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
         return at.groupBy("dk", "rk").agg(F.collect_set(F.struct("start", "ww", "win")).alias("cands"))
 
     def checked(self) -> DataFrame:
@@ -85,13 +88,15 @@ class Decontaminator:
         return both.select("doc_id", "dk", "rk", "n_words", F.when(F.col("hits").isNotNull(), F.size(places)).otherwise(0).cast("long").alias("n_hit"), F.transform("hits", lambda c: c["start"]).alias("starts"), F.array_distinct(F.transform("hits", lambda c: c["win"])).alias("wins"))
 
     def report(self) -> DataFrame:
-        """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids of every row."""
-        rows = written(self.checked(), "checked")
+        """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids of every row. The items of a set of windows
+        are looked up once, however many documents hold that set."""
+        rows = written(self.checked().withColumn("held", F.when(F.col("n_hit") > 0, F.xxhash64(F.array_sort("wins")))), "checked")
         discard(self.found)
-        pairs = rows.filter("n_hit > 0").select("dk", "rk", F.explode("wins").alias("win")).distinct()
-        named = pairs.join(maybe_broadcast(self.wins.select("win", "ids"), 100_000), "win")
-        items = named.select("dk", "rk", F.explode("ids").alias("item")).groupBy("dk", "rk").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
-        out = rows.join(items, ["dk", "rk"], "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+        pairs = rows.filter("n_hit > 0").groupBy("held").agg(F.first("wins").alias("wins")).select("held", F.explode("wins").alias("win"))
+        named = pairs.join(maybe_broadcast(self.wins.select("win", "ids")), "win")
+        items = named.select("held", F.explode("ids").alias("item")).groupBy("held").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
+        items = written(items, "items")
+        out = rows.join(maybe_broadcast(items), "held", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
         return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
 
 
@@ -115,9 +120,9 @@ def clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     join = Decontaminator(docs, items, size)
     bad = narrow(join.checked().filter("n_hit > 0").select("dk", "rk").distinct(), "hit")
     discard(join.found)
-    keyed = docs.withColumn("d_dk", F.coalesce("doc_id", F.lit(0))).withColumn("d_rk", F.xxhash64("doc_id", "text"))
-    bad = maybe_broadcast(bad.select(F.col("dk").alias("d_dk"), F.col("rk").alias("d_rk")))
-    return keyed.join(bad, ["d_dk", "d_rk"], "left_anti").drop("d_dk", "d_rk")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("doc_id", "text").alias("rk"))
+    return keyed.join(maybe_broadcast(bad), ["dk", "rk"], "left_anti").select("row.*")
 
 
 ORACLE = r"""
