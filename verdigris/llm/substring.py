@@ -10,8 +10,8 @@ Blocks of documents keep one copy of each window before anything is shuffled, so
 holds arrives once per block, not once per document. A bucket's size is set by the input's size.
 
 Defined results: null text has no words; a null doc_id sorts first; rows that repeat a doc_id are one document (the same
-start is not earlier than itself) and each such row is returned; texts shorter than a window lose nothing; an empty table
-gives no rows; other columns are ignored. A window hash has 64 bits and meets only hashes of its own bucket.
+start is not earlier than itself) and each such row is returned; texts shorter than a window lose nothing; very long texts
+are whole; an empty table gives no rows; other columns, whatever their names, are ignored. A window hash has 64 bits and meets only hashes of its own bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import _text as tx
-from verdigris.llm._work import bucket_count, pick
+from verdigris.llm._work import partition_count, pick
 
 LENGTH, ANCHOR = 20, 10
 _NULL = np.iinfo(np.int64).min
@@ -145,14 +145,16 @@ def _extend(table: pa.Table, length: int) -> pa.Table:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Word spans [s, e) of each document under windows that also start earlier: doc_id, s, e. Spans may overlap.
     A null doc_id is the smallest long."""
-    buckets = bucket_count(docs)
+    parts = partition_count(pick(docs, "doc_id", "text"))
+    buckets = 4 * parts
 
     def seeds(batches):
         for table in tx.blocks(batches):
             yield _seeds(table, buckets, length, anchor)
 
     blobs = pick(docs, "doc_id", "text").mapInArrow(seeds, "bucket long, kind int, n long, payload binary")
-    return blobs.groupBy("bucket").applyInArrow(lambda t: _extend(t, length), "doc_id long, s long, e long")
+    # as many partitions as the bytes need, whatever the session's shuffle partitions are
+    return blobs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _extend(t, length), "doc_id long, s long, e long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
