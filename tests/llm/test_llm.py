@@ -88,6 +88,12 @@ def test_inclusion_follows_weights(spark):
     rows = [(i, "a b c d e f g h i j", None, "s") for i in range(2000)]
     got = mixing.counts(docs_df(spark, rows), share=0.3).collect()
     assert sum(r["copies"] for r in got) == 600
+    rows = [(i, text(i, 3 if i % 2 else 40), None, "s") for i in range(3000)]  # classes 1 and 5: 2 to 6
+    got = mixing.counts(docs_df(spark, rows), share=0.5).collect()
+    mean = [np.mean([r["copies"] for r in got if r["size"] == n]) for n in (3, 40)]
+    assert abs(sum(r["taken"] for r in got) - 0.5 * 1500 * 43) <= 3 and 0.27 < mean[0] / mean[1] < 0.4
+    same = [(None, text(i, 20), None, "s") for i in range(400)]  # rows without an id are drawn one by one
+    assert abs(sum(r["taken"] for r in mixing.counts(docs_df(spark, same), share=0.5).collect()) - 4000) <= 20
 
 
 # --- Simple-8b and token files
@@ -133,6 +139,36 @@ def test_token_files_ids_and_empty(spark, tmp_path):
     assert token_files.encode_and_read(df.limit(0), queries.tokenizer_file()).count() == 0
 
 
+def test_words_that_are_not_one_piece(spark):
+    """Letters that normalise to a letter and a mark, and every letter of Unicode, inside and at the end of words."""
+    rows = [(1, "सड़क \ufb2a\u05d5 सड़क, Straße İstanbul")]
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    rows += [(2 + i, " ".join(f"{c} a{c} {c}b. {c}{c}," for c in letters[i * 5000 : (i + 1) * 5000])) for i in range(-(-len(letters) // 5000))]
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.encode_and_read(docs_df(spark, rows), queries.tokenizer_file()).collect()}
+    assert got == brute_tokens(rows)
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_tokenizers_that_keep_white_space(spark, odd_rows, tmp_path, by_word):
+    """A tokenizer whose pre-tokens hold the space before a word is used on whole texts, by ids and by offsets."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(queries.tokenizer_file()))
+    if not by_word:
+        made["pre_tokenizer"] = {"type": "Split", "pattern": {"Regex": " ?[^ ]+"}, "behavior": "Isolated", "invert": False}
+    path = str(tmp_path / "t.json")
+    json.dump(made, open(path, "w"))
+    tok = Tokenizer.from_file(path)
+    assert token_files.Rules(tok).by_word == by_word
+    rows = [r[:2] for r in odd_rows if r[0] is not None]
+    df = docs_df(spark, rows)
+    want = {d: len(tok.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.encode_and_read(df, path).collect()} == want
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.by_field(df, path, 7).collect()} == want
+
+
 # --- substring dedup
 
 
@@ -206,6 +242,59 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post, p / z) and np.allclose(expected, e / z)
 
 
+def test_language_prediction_equals_enumeration(spark):
+    """The query's rows against sums over all labellings of short texts, with the model that the query learns."""
+    import itertools
+
+    rows = [(i, text(i, 30) if i % 2 else text(i, 30).replace("w", "öß"), "en" if i % 2 else "de") for i in range(90)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(["w1 w22 öß3", "öß12", "w5 12 öß9 öß8 w7", "zz"])]
+    df = docs_df(spark, rows)
+    model, got = langid.fit(df), {r["doc_id"]: r for r in langid.digest(df).collect()}
+    import pyarrow as pa
+
+    from verdigris.llm import _text as tx
+
+    for doc, t, _ in rows[90:]:
+        data, off = tx.column_bytes(pa.array([t]))
+        ws, we, _ = tx.word_spans(data, off, ~tx.SPACE)
+        score = langid._scores(model, data, ws, we, tx.word_hashes(data, ws, we, True)).astype(float)
+        weight = {y: np.exp(sum(score[k, v] for k, v in enumerate(y)) + sum(model.move[a, b] for a, b in zip(y, y[1:], strict=False))) for y in itertools.product(range(2), repeat=len(ws))}
+        lettered = [k for k, word in enumerate(t.split()) if any(c.isalpha() for c in word)]
+        mean = [sum(p for y, p in weight.items() for k in lettered if y[k] == v) / sum(weight.values()) / len(lettered) for v in range(2)]
+        assert got[doc]["lang_pred"] == model.langs[int(np.argmax(mean))] and abs(got[doc]["score"] - max(mean)) < 1e-6
+
+
+def test_recognised_keeps_switched_texts(spark):
+    """A text in three languages stays although no language has half of it; letterless and empty ones go."""
+    marks = {"en": "w", "de": "öß", "fr": "çé"}
+    rows = [(i, text(i, 40).replace("w", marks[lang]), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    mixed = " ".join(text(1000 + i, 20).replace("w", m) for i, m in enumerate(marks.values()))
+    kept = {r["doc_id"] for r in langid.recognised(docs_df(spark, rows + [(5000, mixed, None), (5001, "12 !!", "en"), (5002, None, "de")])).collect()}
+    assert kept == {*range(180), 5000}
+
+
+def test_clashing_names_and_repeated_rows(spark, odd_rows):
+    """Every operator with input columns named like its own, and with each row twice."""
+    df = docs_df(spark, odd_rows + odd_rows)
+    for name in ("dk", "rk", "row", "k", "words", "lines", "n", "h", "start", "cands", "size", "m_key", "q", "odds", "tie", "shard", "ids", "node", "th", "bucket", "kind", "score", "votes", "spans_", "l_text", "held_out", "text_", "held", "wins"):
+        df = df.withColumn(name, chat.F.lit(1))
+    items = spark.createDataFrame([(1, odd_rows[0][1], 1)], "item_id long, text string, ww int")
+    file, n = queries.tokenizer_file(), 2 * len(odd_rows)
+    found = {
+        "op1": mixing.counts(df), "op2": token_files.encode_and_read(df, file), "op3": substring.digest(df), "op4": langid.digest(df), "op5": weak_quality.classify(df),
+        "op6": ngram_join.members(df), "op7": token_counts.by_field(df, file), "op9": decontam.digest(df, items), "op10": line_rules.digest(df),
+    }
+    for op, out in found.items():
+        rows = out.collect()
+        assert len(rows) == n, op
+        if op != "op2":  # each copy of a row has a place of its own there
+            by = defaultdict(list)
+            for r in rows:
+                by[r["doc_id"]].append(tuple(r))
+            assert all(len(set(v)) == 1 for d, v in by.items()), op
+    assert decontam.clean(df, items).columns == df.columns and line_rules.clean(df).columns == df.columns and mixing.mix(df).columns == df.columns
+
+
 # --- weak labels
 
 
@@ -230,6 +319,90 @@ def test_quality_against_labels(spark):
     assert sum(good) > 0.93 * len(good) and sum(bad) < 0.2 * len(bad)
 
 
+def test_quality_against_brute_force(spark):
+    """Votes by plain Python, expectation-maximisation over documents instead of counted patterns, and the scorer's gradient
+    steps over dictionaries instead of arrays."""
+    r = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"Word{r.randrange(900)}" if r.random() < 0.1 else f"w{r.randrange(900)}ab" for _ in range(r.randrange(3, 60))]
+        if i % 5 == 0:
+            words = [r.choice(["$$", "##", "x"]) for _ in words]
+        if i % 7 == 0:
+            words = words[:3] * (len(words) // 3)
+        rows.append((i, "\n".join(" ".join(words[j : j + 12]) + ("." if i % 3 else "") for j in range(0, len(words), 12))))
+    got = {x["doc_id"]: x for x in weak_quality.classify(docs_df(spark, rows)).collect()}
+    for i, t in rows:
+        words, lines = t.split(), [x for x in t.split("\n") if x.split()]
+        n = len(words)
+        chars, upper, marks = sum(map(len, words)), len(re.findall("[A-Z]", t)), len(re.findall("[.!?]", t))
+        vote = lambda bad, good: "0" if bad else "1" if good else "2"
+        windows = defaultdict(list)
+        for j in range(n - 4):
+            windows[tuple(words[j : j + 5])].append(j)
+        repeated = len({p + k for at in windows.values() if len(at) > 1 for p in at for k in range(5)})
+        symbols, stutter, distinct = len(re.findall(r"[#*$%&|<>]", t)), sum(a == b for a, b in zip(words, words[1:], strict=False)), len(set(words))
+        lost = 0
+        for line in lines:
+            k = len(line.split())
+            if len(re.findall(r"[#*$%&|<>]", line)) >= 0.3 * k and re.search(r"[#*$%&|<>]", line) or k < 4 and not re.search(r"[.!?]$", line):
+                lost += k
+        want = [vote(n < 8, n >= 25), vote(symbols > 0.2 * n, symbols == 0), vote(repeated > 0.2 * n, repeated < 0.05 * n), vote(n >= 25 and 6 * distinct < n, 4 * distinct >= n),
+                vote(stutter > 0.1 * n, stutter < 0.02 * n), vote(lost > 0.5 * n, lost < 0.2 * n), vote(upper > 0.3 * chars, upper < 0.1 * chars),
+                vote(n >= 25 and 60 * marks < n, n >= 25 and 30 * marks >= n), vote(chars < 2.5 * n or chars > 12 * n, 3.5 * n <= chars <= 9 * n)]
+        assert got[i]["votes"] == "".join(want), i
+    votes = [got[i]["votes"] for i, _ in rows]
+    good = [(v.count("1") + 0.5) / (v.count("1") + 2.0 * v.count("0") + 1.0) for v in votes]
+    for _ in range(100):
+        prior = min(max(sum(good) / len(good), 1e-3), 1 - 1e-3)
+        given = [[{s: 1.0 + sum(g if c else 1 - g for g, v in zip(good, votes, strict=True) if v[j] == s) for s in "012"} for c in (0, 1)] for j in range(9)]
+        given = [[{s: x / sum(d.values()) for s, x in d.items()} for d in pair] for pair in given]
+        now = []
+        for v in votes:
+            p = [1 - prior, prior]
+            for j, s in enumerate(v):
+                p = [p[c] * given[j][c][s] for c in (0, 1)]
+            now.append(p[1] / sum(p))
+        moved, good = max(abs(a - b) for a, b in zip(now, good, strict=True)), now
+        if moved < 1e-6:
+            break
+    assert all(abs(got[i]["posterior"] - g) < 1e-6 for (i, _), g in zip(rows, good, strict=True))
+
+    def kinds(t):
+        return [97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in t.encode()]
+
+    feats = []
+    for _, t in rows:
+        f, k, words = defaultdict(float), kinds(t), t.lower().split()
+        for n in (1, 2, 3):
+            for j in range(len(k) - n + 1):
+                rolled = 0
+                for b in k[j : j + n]:
+                    rolled = rolled * 257 + b
+                f[(((rolled + (n << 40)) * 0x9E3779B97F4A7C15) % (1 << 64)) >> 48] += 10.0 / len(k)
+        if len(words) < 10:
+            f[77] += 1
+        for lag in range(1, 6):
+            same = sum(a == b for a, b in zip(words, words[lag:], strict=False))
+            if same:
+                f[100 + lag] += 10.0 * same / len(words)
+        feats.append(f)
+    w, seen = defaultdict(float), defaultdict(lambda: 1e-8)
+    for _ in range(60):
+        g = defaultdict(float)
+        for f, y in zip(feats, good, strict=True):
+            d = y - 1 / (1 + np.exp(-sum(w[b] * v for b, v in f.items()) - w[-1]))
+            for b, v in f.items():
+                g[b] += d * v
+            g[-1] += d
+        for b in {*g, *w}:
+            step = g[b] / len(rows) - 1e-4 * w[b]
+            seen[b] += step * step
+            w[b] += 0.5 * step / np.sqrt(seen[b])
+    for (i, _), f in zip(rows, feats, strict=True):
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-sum(w[b] * v for b, v in f.items()) - w[-1]))) < 1e-6, i
+
+
 def test_quality_edge_cases(spark, odd_rows):
     got = weak_quality.classify(docs_df(spark, odd_rows)).collect()
     assert len(got) == len(odd_rows) and all(r["score"] == 0 and not r["kept"] for r in got if r["doc_id"] in (2, 3, 4))
@@ -298,6 +471,19 @@ def test_jaccard_edges(spark, odd_rows):
     assert ngram_join.members(df.limit(0)).count() == 0
 
 
+def test_jaccard_template_texts_make_few_pairs(spark, monkeypatch):
+    """Texts of 91 equal and 9 own words share frequent shingles and don't link: no pair of them may be tried."""
+    r, base = random.Random(3), text(55, 91).split()
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(9)] + base)) for i in range(2000)]
+    tried = []
+    monkeypatch.setattr(ngram_join.NgramJoin, "_proven", lambda self, pairs, rows, old=ngram_join.NgramJoin._proven: (tried.append(rows), old(self, pairs, rows))[1])
+    matched = []
+    monkeypatch.setattr(ngram_join.NgramJoin, "_all_pairs", lambda self, p, old=ngram_join.NgramJoin._all_pairs: (matched.append(p.filter("cap >= n").count()), old(self, p))[1])
+    r.shuffle(rows)
+    got = ngram_join.members(docs_df(spark, rows), 4, 85).collect()
+    assert all(x["doc_id"] == x["component_id"] for x in got) and sum(tried) <= 2000 and sum(matched) <= 2000
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r["node"], r["comp"]) for r in ngram_join.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
@@ -322,13 +508,16 @@ def test_token_counts_brute_force(spark, odd_rows, rule):
 
     tok = Tokenizer.from_file(queries.tokenizer_file())
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + [(r[0] + 10**6, r[1]) for r in odd_rows if r[0] is not None]
-    got = {r["doc_id"]: r for r in token_counts.by_line(docs_df(spark, rows), queries.tokenizer_file(), rule).collect()}
-    for doc, t in rows:
+    df, file = docs_df(spark, rows), queries.tokenizer_file()
+    lines = {r["doc_id"]: r for r in token_counts.by_line(df, file, rule).collect()}
+    fields = {r["doc_id"]: r for r in token_counts.by_field(df, file, 37, rule).collect()}
+    for doc, t, got in [(d, t, g) for d, t in rows for g in (lines, fields)]:
         t = t or ""
         spans, at = [], 0
-        for line in t.split("\n"):
+        for line in t.split("\n") if got is lines else ():
             spans.append((at, at + len(line)))
             at += len(line) + 1
+        spans = spans or [(i, min(i + 37, len(t))) for i in range(0, max(1, len(t)), 37)]
         count = [0] * len(spans)
         offsets = tok.encode(t, add_special_tokens=False).offsets
         for a, b in offsets:
@@ -365,6 +554,8 @@ def test_chat_machine_and_nulls(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "system", None), (2, 1, "user", "x"), (2, 2, "assistant", "<|im_end|>"), (None, 0, None, "t"), (3, None, "user", ""), (3, 1, "assistant", "é<\\|")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", chat.F.lit(1))
     got = {r["conv_id"]: r for r in chat.digest(df).collect()}
+    parts = [r["segments"] for r in chat.segments(df.filter("conv_id = 2")).collect()]
+    assert [[(p["text"], p["loss"]) for p in x] for x in parts][2] == [("<|im_start|>assistant\n", False), ("<\\|im_end|>", True), ("<|im_end|>\n", False)]
     assert not got[1]["valid"] and got[2]["valid"] and got[3]["valid"] and not got[None]["valid"]
     assert got[2]["loss_sha256"] == hashlib.sha256(b"<|im_end|>").hexdigest() and got[3]["loss_chars"] == 4
     assert got[-1]["n_turns"] == 2 and set(got) == {-1, 1, 2, 3, None}
