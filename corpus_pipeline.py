@@ -1,7 +1,12 @@
 """A training corpus from documents: language, near duplicates, benchmark leaks, mixture, token-id files.
 
 Each stage works on all its predecessor kept and returns the columns of documents; the last one returns one row per
-written document, read back from the token files.
+written document, read back from the token files. A stage's table is deleted once its successor's is written.
+
+Defined results: a null text or one without letters has no language and goes in the first stage, and so does nothing else
+that is null: a null doc_id, source or lang stays, null sources are one source of the mixture. Rows that repeat a doc_id are
+told apart by their texts; of rows that repeat both, the second stage keeps one. Very long texts pass whole. An empty table
+gives an empty table at every stage. Columns beside those of documents, whatever their names, are kept until the last stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import decontam, langid, mixing, ngram_join, token_files
-from verdigris.llm._work import written
+from verdigris.llm._work import discard, written
 from verdigris.llm.queries import tokenizer_file
 
 
@@ -51,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        found = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:  # its files are written and stay for the result
+            discard(*spent)
+            return found
+        docs = written(found, name)
+        discard(*spent)
+        spent = [docs]
+    raise AssertionError("no stages")
