@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import vector as V
 
-#: Queries and records of one block.
-QUERY_BLOCK = 4096
+#: Queries and records of one block, and of the smallest.
+QUERY_BLOCK, SMALL_BLOCK = 4096, 512
 
 
 def scan_top_k(records: DataFrame, query: Sequence[float], k: int, id_col: str = "record_idx", vector: str = "vector") -> DataFrame:
@@ -69,7 +69,8 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "r
         raise ValueError("k must be 1 or more")
     left = records.select(F.col(id_col).cast("long").alias("id"), V.floats(vector).alias("v"))
     asked = queries.select(F.col(query_id).cast("long").alias("id"), V.floats(vector).alias("v"))
-    rows, cols = (-(-max(1, t.count()) // QUERY_BLOCK) for t in (asked, left))
+    # small tables get smaller blocks, so that there is a group for every core
+    rows, cols = (-(-n // min(QUERY_BLOCK, max(SMALL_BLOCK, -(-n // 8)))) for n in (max(1, t.count()) for t in (asked, left)))
 
     def dealt(t: DataFrame, side: int, own: str, mine: int, other: str, others: int) -> DataFrame:
         t = t.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
