@@ -290,7 +290,7 @@ def test_clashing_names_and_repeated_rows(spark, odd_rows):
         if op != "op2":  # each copy of a row has a place of its own there
             by = defaultdict(list)
             for r in rows:
-                by[r["doc_id"]].append(tuple(r))
+                by[r["doc_id"]].append(repr(tuple(r)))
             assert all(len(set(v)) == 1 for d, v in by.items()), op
     assert decontam.clean(df, items).columns == df.columns and line_rules.clean(df).columns == df.columns and mixing.mix(df).columns == df.columns
 
