@@ -385,6 +385,17 @@ def test_scan_build_query_evaluate(spark, image_folder, tmp_path):
     assert max(abs(v) for v in normalised["vector_normalized"]) <= 3
 
 
+def test_load_image_and_placeholder(spark, image_folder):
+    from verdigris.sources.images import load_image, placeholder
+
+    assert load_image(spark, f"{image_folder}/class 1/t1.png").shape == (96, 96, 3)
+    with pytest.raises(FileNotFoundError):
+        load_image(spark, f"{image_folder}/class 1/gone.png")
+    with pytest.raises(ValueError):
+        load_image(spark, f"{image_folder}/class 0/broken.png")
+    assert placeholder().shape == (300, 400, 3) and (placeholder()[0, 0] == (45, 45, 60)).all()
+
+
 def test_preprocess_folder(spark, image_folder, tmp_path):
     got = jobs.preprocess_folder(spark, image_folder, str(tmp_path / "p"), size=(64, 64), denoiser="gaussian").collect()
     assert len(got) == 7 and sum(r["is_valid"] for r in got) >= 1

@@ -1,4 +1,4 @@
-"""python -m verdigris.cli build|query|evaluate|preprocess|extract ..."""
+"""python -m verdigris.cli build|query|smoke|evaluate|preprocess|extract ..."""
 
 from __future__ import annotations
 
@@ -17,6 +17,9 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("out")
     q.add_argument("image")
     q.add_argument("--k", type=int, default=5)
+    t = sub.add_parser("smoke", help="neighbours of a store's first record")
+    t.add_argument("out")
+    t.add_argument("--k", type=int, default=5)
     e = sub.add_parser("evaluate", help="retrieval quality of a store")
     e.add_argument("out")
     e.add_argument("--k", type=int, default=5)
@@ -45,6 +48,8 @@ def main(argv: list[str] | None = None) -> int:
         jobs.build(spark, a.image_dir, a.out, a.norm, a.distance)[1].stats().show(truncate=False)
     elif a.job == "query":
         jobs.query(spark, a.out, a.image, a.k).show(truncate=False)
+    elif a.job == "smoke":
+        jobs.load(spark, a.out)[1].smoke(a.k).show(truncate=False)
     elif a.job == "evaluate":
         got = jobs.evaluate(jobs.load(spark, a.out)[1], a.k, a.sample, not a.no_dist)
         print(E.report(got["quality"], got["labels"], got["buckets"], got["distances"], a.k))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import paths as P
 from verdigris.schema import IMAGE
 
-#: Bytes of a file's head that are searched for its orientation.
+#: Bytes of a file's head that are searched for its orientation; the tag stands in one of a JPEG's first segments, of 64 KB at most.
 HEAD = 128 * 1024
 
 
@@ -60,6 +60,23 @@ def decode(height: int, width: int, channels: int, data: bytes) -> tuple[np.ndar
     return rgb, None if channels == 3 else np.where(x[..., 3] > 127, 255, 0).astype(np.uint8)
 
 
+def load_image(spark: SparkSession, path: str) -> np.ndarray:
+    """RGB pixels of one image file; FileNotFoundError if there is none, ValueError if it can't be decoded."""
+    try:
+        row = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*").first()
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    found = decode(row["height"], row["width"], row["nChannels"], bytes(row["data"])) if row else None
+    if found is None:
+        raise ValueError(f"{path} can't be decoded")
+    return found[0]
+
+
+def placeholder(width: int = 400, height: int = 300, colour: tuple[int, int, int] = (45, 45, 60)) -> np.ndarray:
+    """What is shown for an image that can't be found."""
+    return np.full((height, width, 3), colour, dtype=np.uint8)
+
+
 def encode_png(img: np.ndarray) -> bytes:
     """PNG of a grey (H, W) or RGB (H, W, 3) uint8 array."""
     h, w = img.shape[:2]
