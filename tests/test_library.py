@@ -452,3 +452,20 @@ def test_sql_functions_and_path_labels(spark):
     box = C.draw_box(np.zeros((20, 20, 3), np.uint8), (5, 5, 10, 10))
     assert box[5, 5, 0] == 255 and box[10, 10, 0] == 0
     assert "valid" in C.Result(False, C.Validation(False, "x")).summary()
+
+
+def test_label_of_path_has_a_row_for_every_page(spark, tmp_path):
+    """Against its SQL, on pages that repeat a url, share a generic parent, or have no url or id."""
+    import duckdb
+
+    from verdigris import catalog
+
+    urls = [(3, "http://x.org/res/a"), (18, "http://x.org/res/a"), (8, "http://x.org/res/a"), (5, "https://y.org/de/b"), (20, "https://y.org/de/b"), (9, "a_b_tree_1/res/c"), (9, "a_b_tree_1/res/c"), (12, None), (7, None), (None, "res/d")]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(((r["path"], r["label"]) for r in catalog.Q["label_of_path"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(con.execute(catalog.SQL["label_of_path"]).fetchall(), key=repr) and len(got) == 15
+    records = spark.createDataFrame([(0, "x.png", "s"), (1, "x.png", "t")], "record_idx long, image_path string, label string")
+    paths = spark.createDataFrame([("x.png",), ("x.png",)], "path string")
+    assert [r["label"] for r in P.labels_of_paths(paths, records).collect()] == ["s", "s"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,16 @@ def eval_label(path: Column, stored: Column) -> Column:
     return F.when(~generic, parent(path)).when(F.instr(stem(path), "_tree_") > 0, marked).otherwise(F.coalesce(stored, parent(path)))
 
 
-def labels_of_paths(paths: DataFrame, records: DataFrame) -> DataFrame:
-    """path, label: the evaluation label of the first record (record_idx, image_path, label) with that path, else its parent."""
-    first = records.groupBy("image_path").agg(F.min_by("label", "record_idx").alias("stored"))
-    both = paths.select("path").distinct().join(first, F.col("path") == F.col("image_path"), "left")
-    found = F.when(F.col("image_path").isNotNull(), eval_label(F.col("path"), F.col("stored"))).otherwise(parent(F.col("path")))
-    return both.select("path", found.alias("label"))
+def labels_of_paths(paths: DataFrame, records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """path, label of every row of paths, repeated paths included: the evaluation label of the first record (record_idx,
+    image_path, label) with that path, else its parent. by: columns of both sides that must be equal beside the path."""
+    first = records.groupBy(F.col("image_path").alias("r_path"), *[F.col(c).alias(f"r_{c}") for c in by]).agg(F.min_by("label", "record_idx").alias("stored"))
+    at = F.col("path").eqNullSafe(F.col("r_path"))
+    for c in by:
+        at &= F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    both = paths.select("path", *by).join(first.withColumn("found", F.lit(True)), at, "left")
+    label = F.when(F.col("found"), eval_label(F.col("path"), F.col("stored"))).otherwise(parent(F.col("path")))
+    return both.select("path", label.alias("label"))
 
 
 def sort_key(path: Column) -> Column:
