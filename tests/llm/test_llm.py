@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out accuracy, and on nulls, ties, repeats, long and empty texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -616,3 +617,21 @@ def test_very_long_texts(spark):
     got = {r["doc_id"]: r for r in token_counts.by_line(df, queries.tokenizer_file()).collect()}
     assert got[0]["n_sections"] == 2 and sum(got[0]["section_tokens"]) == got[0]["n_tokens"]
     assert token_counts.by_line(df.limit(0), queries.tokenizer_file()).count() == 0
+
+
+def test_crowded_shingles_make_no_row_for_each_pair(spark, monkeypatch):
+    """Texts of 5 of 10 passages share many shingles and don't link; those that end in "copy" link with the text before."""
+    r, sets = random.Random(6), list(itertools.combinations(range(10), 5))
+    rows = []
+    for picked in r.sample(sets, 150):
+        rows.append((len(rows), " ".join(f"p{b}x{j}" for b in picked for j in range(40))))
+        if len(rows) % 8 == 0:
+            rows.append((len(rows), rows[-1][1] + " copy"))
+    pairs, want = [], brute_components(rows, 4, 85)
+    monkeypatch.setattr(ngram_join.NgramJoin, "_all_pairs", lambda self, p, old=ngram_join.NgramJoin._all_pairs: (pairs.append((out := old(self, p)).count()), out)[1])
+    for rounds, block in ((0, 1000), (4, 1000), (0, 30)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "SIDE", min(block, 128), raising=False)
+        got = ngram_join.NgramJoin(docs_df(spark, rows), 4, 85, rounds).members()
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert 150 <= len({r[2] for r in want}) < len(rows) and max(pairs) <= 32 * len(rows), pairs

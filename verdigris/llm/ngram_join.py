@@ -14,8 +14,9 @@
    components (the first time the leader that most of them name, then leaders drawn by a hash), so that a group of thousands
    of near copies needs a few pairs per node, not all pairs. What verifies joins components. Rounds end when few trials
    succeed. What is left is complete: where one component holds many postings of a shingle, the other nodes there are
-   verified against blocks of that component's sets by counting shared items, without a row for each pair; all other pairs
-   of nodes in different components are joined on (shingle, size class), the smaller set asking only the classes up to its
+   verified against blocks of that component's sets by counting shared items, without a row for each pair; nodes of many
+   components that crowd at one shingle are verified against one another in blocks in the same way; all other pairs of
+   nodes in different components are joined on (shingle, size class), the smaller set asking only the classes up to its
    cap. A pair that was tried before isn't tried again. No link between different components is lost, and pairs inside one
    component need no proof.
 5. Pairs are verified star by star (a leader and the nodes that name it), from the texts, each of which is shipped once
@@ -49,6 +50,8 @@ LEVELS = (0, 1, 2, 3, 4, 6, 9, 15, 30, 100, 300, 1_000, 10_000, 100_000, 1_000_0
 ROUNDS, WORTH = 4, 0.2
 #: Postings of one component from which it is a shingle's host, sets of each side in one block, shingles in one task's group.
 HOST, BLOCK, GROUP = 16, 1000, 400_000
+#: Postings outside the host from which a shingle is crowded, and sets of each side in its blocks while there are few of them.
+CROWD, SIDE = 32, 128
 #: Postings of a frequent hash class in one part, times the mean class from which a class is frequent, depth of the suffix filter.
 PART, FREQUENT, DEPTH = 100_000, 8, 2
 BYTES = 4 << 20
@@ -279,30 +282,52 @@ def _stars(n: int, percent: int, frequency):
     return run
 
 
+def _matches(table: pa.Table, n: int, percent: int, members: np.ndarray, guests: np.ndarray):
+    """Each guest row and the member rows whose sets link with its own, found by counting shared items."""
+    g, first, size = _sets_of(table, n)
+    held = size[members]
+    owner = np.repeat(np.arange(len(members)), held)
+    flat = g[np.repeat(first[members] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))]
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    for i in guests.tolist() if len(members) else []:
+        own = g[first[i] : first[i] + size[i]]
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        k = hi - lo
+        hits = owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        shared = np.bincount(hits, minlength=len(members))
+        yield i, members[100 * shared >= percent * (held + len(own) - shared)]
+
+
+def _found(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
 def _linked(n: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         """One link, if there is one, of each guest set (side 1) to the member sets (side 0) of a block."""
         side = table.column("side").to_numpy()
         node = table.column("node").to_numpy()
-        g, first, size = _sets_of(table, n)
+        each = _matches(table, n, percent, np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        return _found([(int(node[i]), int(node[ok[0]])) for i, ok in each if len(ok)])
+
+    return run
+
+
+def _joined(n: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The links of a block (side 0 with side 1; alone, side 0 with itself) that join what is not yet connected."""
+        side = table.column("side").to_numpy()
+        node = table.column("node").to_numpy()
+        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
         members, guests = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple[int, int]] = []
-        if len(members) and len(guests):
-            held = size[members]
-            owner = np.repeat(np.arange(len(members)), held)
-            flat = g[np.repeat(first[members] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))]
-            by = np.argsort(flat, kind="stable")
-            flat, owner = flat[by], owner[by]
-            for i in guests.tolist():
-                own = g[first[i] : first[i] + size[i]]
-                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                k = hi - lo
-                hits = owner[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-                shared = np.bincount(hits, minlength=len(members))
-                ok = np.flatnonzero(100 * shared >= percent * (held + len(own) - shared))
-                if len(ok):
-                    out.append((int(node[i]), int(node[members[ok[0]]])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        out = []
+        for i, ok in _matches(table, n, percent, members, guests if len(guests) else members):
+            for comp, at in zip(*np.unique(label[ok], return_index=True), strict=True):
+                if comp != label[i]:
+                    out.append((int(node[i]), int(node[ok[at]])))
+                    label[label == comp] = label[i]
+        return _found(out)
 
     return run
 
@@ -419,6 +444,16 @@ class NgramJoin:
         found = self.texts.join(maybe_broadcast(placed), "node").groupBy("host", "m", "g").applyInArrow(_linked(self.n, t), "a long, b long")
         return flagged, self._kept(narrow(found, "links"))
 
+    def _crowded(self, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings of shingles that are not crowded, and links that join all linking nodes at each crowded shingle."""
+        size = p.groupBy("token").agg(F.count("node").alias("held"), F.sum("n").alias("items")).filter(F.col("held") >= CROWD)
+        blocks = F.expr(f"greatest(ceil(held / {BLOCK}), ceil(items / {GROUP}), least(ceil(held / {SIDE}), {BLOCK // SIDE + 1}))")
+        crowds = maybe_broadcast(self._kept(narrow(size.select("token", blocks.alias("k")), "crowds", self.held // CROWD)))
+        dealt = p.join(crowds, "token").withColumn("own", F.expr("pmod(xxhash64(node), k)")).withColumn("other", F.explode(F.expr("sequence(0L, k - 1)")))
+        placed = self._kept(narrow(dealt.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp"), "blocks"))
+        found = self.texts.join(maybe_broadcast(placed), "node").groupBy("token", "one", "two").applyInArrow(_joined(self.n, self.percent), "a long, b long")
+        return p.join(crowds, "token", "left_anti"), self._kept(narrow(found, "links"))
+
     def _labelled(self, label: DataFrame | None) -> DataFrame:
         """Postings with their node's component, without shingles held by one component only."""
         if label is None:
@@ -491,7 +526,9 @@ class NgramJoin:
             label = self.spark.createDataFrame([], "node long, comp long")
         p = self._kept(written(self._labelled(label), "labelled"))
         flagged, found = self._hosted(p, label)
-        rest = self._kept(narrow(self._all_pairs(flagged.filter("not hosted")), "pairs"))
+        few, joined = self._crowded(flagged.filter("not hosted"))
+        found = found.union(joined)
+        rest = self._kept(narrow(self._all_pairs(few), "pairs"))
         if left := rest.count():
             found = found.union(self._proven(rest, left))
         if linked := found.count():
