@@ -635,3 +635,19 @@ def test_crowded_shingles_make_no_row_for_each_pair(spark, monkeypatch):
         got = ngram_join.NgramJoin(docs_df(spark, rows), 4, 85, rounds).members()
         assert sorted(tuple(r) for r in got.collect()) == want
     assert 150 <= len({r[2] for r in want}) < len(rows) and max(pairs) <= 32 * len(rows), pairs
+
+
+def test_words_in_use_stay_when_the_word_table_is_full(monkeypatch):
+    """A full table forgets only what the present texts don't use; words are asked about together, with equal answers."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
+    encoder = token_files.WordEncoder(queries.tokenizer_file())
+    learned = []
+    monkeypatch.setattr(token_files.WordEncoder, "_learn", lambda self, keys, *a, old=token_files.WordEncoder._learn: (learned.append(len(keys)), old(self, keys, *a))[1])
+    for k in range(3):
+        texts = [" ".join([f"common{i} Grün{'ab'[i % 2]}, été." for i in range(60)] + [f"new{k}x{i}" for i in range(10)])]
+        raw = [t.encode() for t in texts]
+        ids, n = encoder(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert ids.tolist() == [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+    assert learned[1:] == [10, 10]
+    words = ["abc", "été", "éa", "ﷺ", "ǅ", "naïve", "İx", "٣x", "中文", "𝔘", "ªb"]
+    assert encoder.rules.one_piece_each(words).tolist() == [encoder.rules.one_piece(w) for w in words]

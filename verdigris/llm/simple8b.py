@@ -12,6 +12,7 @@ import numpy as np
 U64 = np.uint64
 MAGIC = b"S8B1\0\0\0\0"
 BLOCK = 4096
+STRIDE = 64
 # Fixed values of the published format: ids per word and bits per id for the selectors 0 to 15.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -36,18 +37,22 @@ def _starts(width: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         if not ok.any():
             continue
         fit[ok] = count
-    starts, slots, base = [], [], 0
-    for row in fit:
-        jump, i, end = row.tolist(), 0, min(BLOCK, n - base)
-        own = []
-        while i < end:
-            own.append(i)
-            i += jump[i]
-        own = np.array(own, dtype=np.int64)
-        starts.append(own + base)
-        slots.append(row[own])
-        base += BLOCK
-    return np.concatenate(starts), np.concatenate(slots).astype(np.int64)
+    # the place after each word is one chain over all blocks; it is walked STRIDE words at a time and filled in between
+    place = np.arange(n, dtype=np.int32)
+    after = np.append(np.minimum(place + fit.reshape(-1)[:n], np.minimum((place // BLOCK + 1) * BLOCK, n)), np.int32(n)).astype(np.int32)
+    far = after
+    for _ in range(STRIDE.bit_length() - 1):
+        far = far[far]
+    at, i = [], 0
+    while i < n:
+        at.append(i)
+        i = int(far[i])
+    rows = [np.array(at, dtype=np.int32)]
+    for _ in range(STRIDE - 1):
+        rows.append(after[rows[-1]])
+    starts = np.stack(rows, axis=1).reshape(-1).astype(np.int64)
+    starts = starts[starts < n]
+    return starts, fit.reshape(-1)[starts].astype(np.int64)
 
 
 def encode(ids: np.ndarray) -> bytes:

@@ -16,6 +16,7 @@ an empty table gives no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Callable
@@ -40,7 +41,7 @@ _SCHEMA = "shard long, pack long, first_id long, n_ids long, doc_ids binary, nul
 
 
 class IdTable:
-    """64-bit keys -> ids, in sorted levels over one pool of ids; emptied when it holds more than CACHE_WORDS keys."""
+    """64-bit keys -> ids, in sorted levels over one pool of ids; with more than CACHE_WORDS keys, those not asked for are forgotten."""
 
     def __init__(self, dtype: str = "<u4"):
         self.dtype = dtype
@@ -59,6 +60,14 @@ class IdTable:
             start[hit], count[hit] = at[spot[hit]], n[spot[hit]]
         return start, count
 
+    def keep(self, keys: np.ndarray) -> None:
+        """Forgets all but these distinct keys."""
+        at, n = self.find(keys)
+        held = at >= 0
+        ids, keys, n = spread(self.pool, at[held], n[held]), keys[held], n[held]
+        self.clear()
+        self.add(keys, ids, n)
+
     def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """New distinct keys with count ids each, one after the other in ids."""
         if not len(keys):
@@ -83,6 +92,17 @@ def spread(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return pool[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and each place's value's number."""
+    by = np.argsort(h)
+    own = h[by]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    back = np.empty(len(h), dtype=np.int64)
+    back[by] = np.cumsum(new) - 1
+    return own[new], by[new], back
+
+
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[list(b".,!?;:")] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -109,6 +129,22 @@ class Rules:
     def one_piece(self, text: str) -> bool:
         return len(self.pieces(text)) == 1
 
+    def one_piece_each(self, texts: list[str]) -> np.ndarray:
+        """one_piece of each text; where words can be encoded by themselves, 4000 texts are asked about at once."""
+        out = np.zeros(len(texts), dtype=bool)
+        for k in range(0, len(texts), 4000):
+            part = texts[k : k + 4000]
+            joined = " ".join(part)
+            normal = self.normalizer.normalize_str(joined) if self.normalizer else joined
+            size = np.array([len(x) for x in normal.split(" ")], dtype=np.int64) + 1
+            if not self.by_word or len(size) != len(part):  # not told apart: each by itself
+                out[k : k + 4000] = [self.one_piece(x) for x in part]
+                continue
+            last = np.array([span[1] - 1 for _, span in self.splitter.pre_tokenize_str(normal)], dtype=np.int64)
+            owner = np.searchsorted(np.cumsum(size), last, side="right")
+            out[k : k + 4000] = np.bincount(owner, minlength=len(part)) == 1
+        return out
+
 
 class WordEncoder:
     """Whole texts -> ids. Where the tokenizer's rules allow, a word is known by the 64-bit hash of its bytes and encoded once.
@@ -153,22 +189,31 @@ class WordEncoder:
         soft = np.concatenate([[0], np.cumsum(_LETTER[data] | (data >= 128), dtype=np.int32)])
         hard = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
         plain = (stop > s) & (hard[stop] - hard[s] == stop - s)
-        for i in np.flatnonzero((stop > s) & ~plain & (soft[stop] - soft[s] == stop - s)).tolist():
-            text = raw[s[i] : stop[i]].decode("utf-8", "replace")
-            plain[i] = text.isalpha() and self.rules.one_piece(text)
-        if not self.rules.by_stem:
+        if self.rules.by_stem:
+            maybe = np.flatnonzero((stop > s) & ~plain & (soft[stop] - soft[s] == stop - s))
+            known = self.stems.find(tx.word_hashes(data, s[maybe], stop[maybe], True))[0] >= 0
+            plain[maybe[known]] = True
+            maybe = maybe[~known]
+            texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(s[maybe].tolist(), stop[maybe].tolist(), strict=True)]
+            letters = np.array([x.isalpha() for x in texts], dtype=bool)
+            plain[maybe[letters]] = self.rules.one_piece_each([x for x in texts if x.isalpha()])
+        else:
             plain[:] = False
         own = np.flatnonzero(plain)
         if len(own):
             stem = tx.word_hashes(data, s[own], stop[own], True)
             uniq, one = np.unique(stem, return_index=True)
+            if self.stems.size > CACHE_WORDS:
+                self.stems.keep(uniq)
             new = self.stems.find(uniq)[0] < 0
             self._learn_stems(uniq[new], raw, s[own[one[new]]], stop[own[one[new]]])
             at, n = self.stems.find(stem)
-            tails = [raw[i:j] for i, j in zip(stop[own].tolist(), e[own].tolist(), strict=True)]
+            closed = np.flatnonzero(e[own] > stop[own])
+            tails = [raw[i:j] for i, j in zip(stop[own[closed]].tolist(), e[own[closed]].tolist(), strict=True)]
             missing = sorted(set(tails).difference(self.tails))
             self.tails.update(zip(missing, self._alone(missing), strict=True))
-            size = np.array([len(self.tails[t]) for t in tails], dtype=np.int64)
+            size = np.zeros(len(own), dtype=np.int64)
+            size[closed] = [len(self.tails[t]) for t in tails]
             out = np.empty(int((n + size).sum()), dtype="<u4")
             base = np.cumsum(n + size) - (n + size)
             out[np.repeat(base - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = spread(self.stems.pool, at, n)
@@ -176,9 +221,10 @@ class WordEncoder:
                 out[np.repeat(base + n - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = np.concatenate([self.tails[t] for t in tails])
             self.words.add(keys[own], out, n + size)
         rest = np.flatnonzero(~plain)
-        found = self._alone([raw[i:j] for i, j in zip(s[rest].tolist(), e[rest].tolist(), strict=True)])
-        if found:
-            self.words.add(keys[rest], np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64))
+        words = [raw[i:j].decode("utf-8", "replace") for i, j in zip(s[rest].tolist(), e[rest].tolist(), strict=True)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        count = np.array([len(x) for x in found], dtype=np.int64)
+        self.words.add(keys[rest], np.fromiter(itertools.chain.from_iterable(found), "<u4", int(count.sum())), count)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes data, offsets off) and the number of ids of each text."""
@@ -187,10 +233,9 @@ class WordEncoder:
             each = self._alone([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
             return np.concatenate([np.empty(0, "<u4"), *each]), np.array([len(x) for x in each], dtype=np.int64)
         ws, we, first = tx.word_spans(data, off, ~tx.SPACE)
-        keys, one, back = np.unique(tx.word_hashes(data, ws, we, False), return_index=True, return_inverse=True)
-        for table in (self.words, self.stems):
-            if table.size > CACHE_WORDS:
-                table.clear()
+        keys, one, back = _distinct(tx.word_hashes(data, ws, we, False))
+        if self.words.size > CACHE_WORDS:
+            self.words.keep(keys)
         new = self.words.find(keys)[0] < 0
         if new.any():
             self._learn(keys[new], data, data.tobytes(), ws[one[new]], we[one[new]])
