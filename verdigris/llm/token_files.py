@@ -186,11 +186,15 @@ class WordEncoder:
             if not more.any():
                 break
             stop -= more
-        soft = np.concatenate([[0], np.cumsum(_LETTER[data] | (data >= 128), dtype=np.int32)])
-        hard = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
-        plain = (stop > s) & (hard[stop] - hard[s] == stop - s)
+        plain, soft = np.zeros(len(s), dtype=bool), np.zeros(len(s), dtype=bool)
+        some = np.flatnonzero(stop > s)
+        if len(some):
+            size = stop[some] - s[some]
+            first, byte = np.cumsum(size) - size, spread(data, s[some], size)
+            plain[some] = np.logical_and.reduceat(_LETTER[byte], first)
+            soft[some] = np.logical_and.reduceat(_LETTER[byte] | (byte >= 128), first)
         if self.rules.by_stem:
-            maybe = np.flatnonzero((stop > s) & ~plain & (soft[stop] - soft[s] == stop - s))
+            maybe = np.flatnonzero(soft & ~plain)
             known = self.stems.find(tx.word_hashes(data, s[maybe], stop[maybe], True))[0] >= 0
             plain[maybe[known]] = True
             maybe = maybe[~known]
