@@ -42,3 +42,42 @@ def test_pairs_in_blocks(spark):
     a, b = E.separation(plain).first(), E.separation_of(df).first()
     assert sorted(a.asDict()) == sorted(b.asDict()) and all(np.isclose(a[c], b[c]) for c in a.asDict())
     assert knn.pair_rows(df.limit(0)).count() == 0 and E.separation_of(df.limit(0)).first()["n_intra"] == 0
+
+
+def test_pair_rows_write_each_record_a_few_times(spark):
+    """48 blocks of 64 records: what is shuffled is a few times the records, not once for every other block."""
+    n = 3000
+    df = spark.range(n).selectExpr("id as record_idx", "cast(id % 7 as int) as label", "transform(sequence(1, 64), k -> cast(hash(id, k) as float)) as vector")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(60_000)
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = shuffled()
+    knn.pair_rows(df, size=64).write.format("noop").mode("overwrite").save()
+    assert shuffled() - before < 6 * n * (64 * 4 + 32)
+    assert knn.pair_rows(df, size=64).agg({"*": "count"}).first()[0] == n * (n - 1) // 2
+
+
+def test_pair_rows_odd_tables(spark):
+    """Even and odd numbers of blocks, slices of a block, labels that all are null, numbers that round at a half, large ones."""
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, None, [float(v) for v in x[i]]) for i in range(300)], "record_idx long, label string, vector array<double>")
+    for size in (300, 160, 100, 75, 60):
+        got = knn.pair_rows(df, size=size).toPandas()
+        i, j = np.triu_indices(300, 1)
+        got = got.sort_values(["i", "j"])
+        assert (got.i.to_numpy() == i).all() and (got.j.to_numpy() == j).all() and got.same.isna().all()
+        assert np.allclose(got.distance, np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1)), rtol=1e-12)
+    line = spark.createDataFrame([(0, 1, [0.0]), (1, 1, [0.5]), (3, 1, [0.125])], "record_idx long, label int, vector array<double>")
+    rounded = {(r["i"], r["j"]): r["distance"] for r in knn.pair_rows(line, decimals=2).collect()}
+    assert rounded == {(0, 1): 0.5, (0, 3): 0.13, (1, 3): 0.38}
+    assert knn._rounded(np.array([1e307, 0.0, 2.5]), 2).tolist() == [1e307, 0.0, 2.5] and knn._rounded(np.array([0.49999999999999994, 2.5]), 0).tolist() == [0.0, 3.0]
+    for bad in ([(0, 1, [1.0]), (1, 1, [1.0, 2.0])], [(0, 1, [1.0]), (1, 1, None)]):
+        try:
+            knn.pair_rows(spark.createDataFrame(bad, "record_idx long, label int, vector array<double>")).collect()
+        except Exception as e:
+            assert "one length" in str(e)
+        else:
+            raise AssertionError("accepted")
